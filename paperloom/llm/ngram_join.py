@@ -3,13 +3,13 @@
 1. Documents with equal sets collapse to one representative, the least doc_id; copies are linked to it by a pair each.
 2. Representatives meet in buckets: BANDS keys of ROWS min-wise hashes of the set. Within a bucket they are sorted by set size,
    and a set meets only those in its size band, up to |A| / THRESHOLD. A pair at similarity j shares a bucket with probability
-   1 - (1 - j ** ROWS) ** BANDS: 0.9998 at the threshold, more above it.
+   1 - (1 - j ** ROWS) ** BANDS: 0.995 at the threshold, 0.9999 at 0.6.
 3. Candidate pairs form tiles: (group of linked documents, size band, size band), cut further by hash where a group is large, so
    a set travels to a few tiles, not to each of its pairs. In a tile each set has a hashed bitmap; an element of A without its
    bit in B's bitmap is not in B, so popcounts bound the overlap from above. Pairs that can still reach the threshold are
    decided exactly, by intersecting sorted arrays.
 
-Similarities are exact over 47-bit n-gram hashes; no pair under the threshold is reported, and recall is at least 0.9998 in
+Similarities are exact over 47-bit n-gram hashes; no pair under the threshold is reported, and recall is at least 0.995 in
 expectation. Nothing is capped: groups of thousands of copies cost one row a copy.
 
 Cases. Null and empty texts, and texts without words, have no n-grams and match nothing. A text of fewer than N words has one
@@ -31,7 +31,7 @@ from ._spark import arrow_map, components, cut, join_small, table
 from ._text import U, chunks, i64, mix, ngrams, sets
 
 N, THRESHOLD = 3, 0.5
-ROWS, BANDS = 3, 64
+ROWS, BANDS = 3, 40
 #: Bits of a set's bitmap, and documents of a group that share a tile.
 BITMAP, TILE = 2048, 1024
 _BAND = math.log(1 / THRESHOLD)
@@ -97,11 +97,34 @@ def _bucket_pairs(batches):
             x = np.repeat(np.arange(lo, hi), m)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
             a, b = np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
+            swap, band = doc[x] > doc[y], (np.log(size) / _BAND).astype(np.int8)
             ok = a < b
-            yield pa.record_batch({"a": a[ok], "b": b[ok]})
+            ab, bb = np.where(swap, band[y], band[x])[ok], np.where(swap, band[x], band[y])[ok]
+            order = np.lexsort((b[ok], a[ok]))
+            a, b, ab, bb = a[ok][order], b[ok][order], ab[order], bb[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+            yield pa.record_batch({"a": a[new], "b": b[new], "a_band": ab[new], "b_band": bb[new]})
         lo = hi
 
 
+def _partners(batches):
+    """(a, a_band, b_band, bs): the distinct partners of each document, by band; the partition holds a document's pairs whole."""
+    parts = [tuple(np.asarray(b.column(c)) for c in ("a", "b", "a_band", "b_band")) for b in batches]
+    if not parts:
+        return
+    a, b, ab, bb = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((b, bb, ab, a))
+    a, b, ab, bb = a[order], b[order], ab[order], bb[order]
+    head = np.concatenate(([True], (a[1:] != a[:-1]) | (ab[1:] != ab[:-1]) | (bb[1:] != bb[:-1])))[: len(a)]
+    new = head | np.concatenate(([True], b[1:] != b[:-1]))[: len(a)]
+    a, b, ab, bb, head = a[new], b[new], ab[new], bb[new], head[new]
+    at = np.flatnonzero(head)
+    for k in range(0, len(at), 4096):
+        own = at[k : k + 4096]
+        stop = at[k + 4096] if k + 4096 < len(at) else len(a)
+        yield pa.record_batch({"a": a[own], "a_band": ab[own], "b_band": bb[own], "bs": pa.ListArray.from_arrays((np.append(own, stop) - own[0]).astype(np.int32), b[own[0] : stop])})
+
+
 def _bitmap(s: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITMAP, np.uint8)
     bits[(s & U(BITMAP - 1)).astype(np.int64)] = 1
@@ -126,7 +149,7 @@ def _decide(a: list, others: list) -> np.ndarray:
 
 
 def _verify(batches):
-    """Rows sorted by tile: first its texts (b null), then its pairs."""
+    """Rows sorted by tile: first its texts (bs null), then its documents with their partners."""
     tile, held, pairs = None, {}, {}
 
     def flush():
@@ -143,8 +166,8 @@ def _verify(batches):
                         yield pa.record_batch({"a": np.full(len(ok), a), "b": np.array([part[i][0] for i in ok]), "jaccard": j[ok]})
 
     for batch in batches:
-        t, a, b = np.asarray(batch.column("tile")), np.asarray(batch.column("a")), batch.column("b").to_numpy(zero_copy_only=False)
-        is_text = np.asarray(batch.column("b").is_null())
+        t, a, bs = np.asarray(batch.column("tile")), np.asarray(batch.column("a")), batch.column("bs")
+        is_text = np.asarray(bs.is_null())
         got = {}
         rows = np.flatnonzero(is_text)
         for c in chunks(batch.column("text").filter(pa.array(is_text))) if len(rows) else ():
@@ -161,7 +184,7 @@ def _verify(batches):
                 if got[i][2] and not any(np.array_equal(got[i][0], o[0]) for o in own):
                     own.append(got[i])
             else:
-                pairs.setdefault(int(a[i]), []).append(int(b[i]))
+                pairs.setdefault(int(a[i]), []).extend(bs[i].as_py())
     yield from flush()
 
 
@@ -173,24 +196,22 @@ def join(docs: DataFrame) -> DataFrame:
     copies = signed.select("s1", "s2", "size", "doc_id").join(reps.filter("n > 1").select("s1", "s2", "size", "doc"), ["s1", "s2", "size"]).filter("doc_id > doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
 
     postings = reps.select("size", "doc", F.explode("keys").alias("key")).repartition("key")
-    pairs = cut(arrow_map(postings, _bucket_pairs, "a long, b long").distinct())
+    met = arrow_map(postings, _bucket_pairs, "a long, b long, a_band byte, b_band byte").repartition("a")
+    pairs = cut(arrow_map(met, _partners, "a long, a_band byte, b_band byte, bs array<long>"))
 
     # a group is named by the least document that its members are paired with
-    root = pairs.groupBy("b").agg(F.min("a").alias("root"))
+    root = pairs.select("a", F.explode("bs").alias("b")).groupBy("b").agg(F.min("a").alias("root"))
     pairs = pairs.join(root.select(F.col("b").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    size = reps.groupBy("doc").agg(F.max("size").alias("size"))
-    band = F.floor(F.log("size") / _BAND).cast("int")
-    for c in "ab":
-        pairs = pairs.join(size.select(F.col("doc").alias(c), band.alias(f"{c}_band")), c)
-    pairs = cut(pairs)
-    member = pairs.select("root", F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wide = member.groupBy("root").count().filter(F.col("count") > TILE).select("root", F.ceil(F.col("count") / TILE).alias("wide"))
-    pairs = pairs.join(wide, "root", "left")
+    member = pairs.select("root", F.explode(F.concat(F.array("a"), "bs")).alias("doc")).distinct()
+    wide = cut(member.groupBy("root").count().filter(F.col("count") > TILE).select("root", F.ceil(F.col("count") / TILE).alias("wide")))
+    pairs = join_small(pairs, wide, "root", "left", 16)
     slot = lambda c: F.when(F.col("wide").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), "wide"))
-    pairs = cut(pairs.select(F.xxhash64("root", "a_band", "b_band", slot("a"), slot("b")).alias("tile"), "a", "b"))
-    needs = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
-    sent = join_small(texts, cut(needs), "doc_id", "inner", 64).select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = sent.unionByName(pairs.select("tile", "a", "b", F.lit(None).cast("string").alias("text"))).repartition("tile").sortWithinPartitions("tile", F.col("b").isNotNull())
+    by_slot = pairs.withColumn("b_slots", F.array_distinct(F.transform("bs", slot))).withColumn("b_slot", F.explode("b_slots"))
+    own = F.when(F.col("wide").isNull(), F.col("bs")).otherwise(F.filter("bs", lambda b: slot(b) == F.col("b_slot")))
+    pairs = cut(by_slot.select(F.xxhash64("root", "a_band", "b_band", slot("a"), "b_slot").alias("tile"), "a", own.alias("bs")))
+    needs = pairs.select("tile", F.explode(F.concat(F.array("a"), "bs")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
+    sent = join_small(texts, cut(needs), "doc_id", "inner", 64).select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("a"), F.lit(None).cast("array<long>").alias("bs"), "text")
+    rows = sent.unionByName(pairs.select("tile", "a", "bs", F.lit(None).cast("string").alias("text"))).repartition("tile").sortWithinPartitions("tile", F.col("bs").isNotNull())
     near = arrow_map(rows, _verify, "a long, b long, jaccard double")
     out = near.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
