@@ -220,13 +220,16 @@ def join(docs: DataFrame) -> DataFrame:
 def group(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each group of documents that similar pairs connect: the one of the least doc_id.
 
-    Rows of one doc_id stay or go together, but for exact repeats: of equal rows one stays.
+    Rows of one doc_id stay or go together, but for repeats: of rows with the same doc_id and text one stays.
     """
     pairs = cut(join(docs))
     gone = cut(components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).filter("node <> root").select(F.col("node").alias("__gone")))
+    twice = cut(docs.select(F.col("doc_id").cast("long").alias("__gone")).dropna().groupBy("__gone").count().filter("count > 1").select("__gone"))
     rows = docs.withColumn("__gone", F.col("doc_id").cast("long"))
-    kept = join_small(rows, gone, "__gone", "left_anti", 16).drop("__gone")
-    return kept.select(*docs.columns)
+    kept = join_small(rows, gone, "__gone", "left_anti", 16)
+    once = join_small(kept, twice, "__gone", "left_anti", 16)
+    again = join_small(kept, twice, "__gone", "left_semi", 16).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

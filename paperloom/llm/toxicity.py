@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         cond[c] = held / all_[u] + back[c][u] * word[c][v]
     fixed = lambda a: np.rint(SCALE * (np.log(a["t"]) - np.log(a["o"]))).astype(np.int32)
     model = Model(words.view(U), fixed(word), fixed(back), (u.astype(np.int64) << 32) | v, fixed(cond))
-    model.threshold = _threshold(rows.filter("held"), model) or _threshold(rows, model) or float("inf")
+    best = _threshold(rows.filter("held"), model)
+    best = _threshold(rows, model) if best is None else best
+    model.threshold = float("inf") if best is None else max(0.0, best)  # never under 0: a text without words isn't toxic
     return model
 
 
