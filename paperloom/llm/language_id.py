@@ -105,7 +105,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH chars AS (SELECT row_number() OVER () AS r, doc_id, lang, list_transform(string_split(lower(text), ''), lambda c: unicode(c)::BIGINT) AS cs FROM documents),
+WITH chars AS (SELECT row_number() OVER () AS r, doc_id, lang, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(lower(text), ''), lambda c: unicode(c)::BIGINT) END AS cs FROM documents),
 pos AS (SELECT r, lang, cs, unnest(range(1, len(cs) + 1)) AS i FROM chars WHERE len(cs) > 0),
 grams AS (
   SELECT r, lang, (cs[i] * {FACTORS[0]} + {SALT}) % {BUCKETS} AS g FROM pos

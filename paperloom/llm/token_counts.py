@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Shared, arrow_map, cut, table
-from ._text import Chunk, Table, U, chunks, i64, substrings
+from ._text import Chunk, Table, U, chunks, i64, mix, substrings
 from ._text import _pow as powers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -125,21 +125,27 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = DICTIONARY
     if words.count() * 12 <= limit:
         return _count_broadcast(docs, words)
     rows = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def frequencies(batches):
+        """(r, doc_id, none, h, f): a text's pre-tokens, after a row that stands for the text itself, of frequency 0."""
         for b in batches:
-            ids = b.column("r")
+            r, ids, none = b.column("r"), b.column("doc_id"), b.column("text").is_null()
             for c in chunks(b.column("text"), lower=False):
                 _, _, h, bounds = pretokens(c)
-                of = np.repeat(np.arange(c.n), np.diff(bounds))
+                own = np.arange(c.n)
+                of = np.repeat(own, np.diff(bounds))
                 order = np.lexsort((h, of))
                 h, of = h[order], of[order]
-                at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))[: len(h)]
-                yield pa.record_batch({"r": ids.take(pa.array(of[at] + c.first)), "h": i64(h[at]), "f": np.diff(np.append(at, len(h))).astype(np.int32)})
-
-    sums = arrow_map(rows.select("r", "text").filter("text is not null"), frequencies, "r long, h long, f int").join(words, "h").groupBy("r").agg(F.sum(F.col("f") * F.col("n")).alias("n_tokens"))
-    all_ = rows.select("r", "doc_id", F.col("text").isNull().alias("none"))
-    return all_.join(sums, "r", "left").select("doc_id", F.when(F.col("none"), None).otherwise(F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
+                at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)])
+                f = np.concatenate((np.zeros(c.n, np.int32), np.diff(np.append(at, len(h))).astype(np.int32)))
+                row = pa.array(np.concatenate((own, of[at])) + c.first)
+                spread = mix(np.asarray(r.slice(c.first, c.n)).astype(U))  # else these rows would meet in one partition
+                yield pa.record_batch({"r": r.take(row), "doc_id": ids.take(row), "none": none.take(row), "h": i64(np.concatenate((spread, h[at]))), "f": f})
+
+    found = arrow_map(rows, frequencies, f"r long, doc_id {kind}, none boolean, h long, f int").join(words, "h", "left")
+    sums = found.groupBy("r").agg(F.first("doc_id").alias("doc_id"), F.first("none").alias("none"), F.sum(F.col("f") * F.coalesce("n", F.lit(0))).alias("n_tokens"))
+    return sums.select("doc_id", F.when(~F.col("none"), F.col("n_tokens")).cast("long").alias("n_tokens"))
 
 
 def _count_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:

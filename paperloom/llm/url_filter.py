@@ -136,7 +136,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    url = "concat(lower(head), substr(url, length(head) + 1))"
+    url = "(lower(head) || substr(url, length(head) + 1))"
     for pattern, new, everywhere in _STEPS:
         url = f"regexp_replace({url}, '{pattern}', '{new}'" + (", 'g')" if everywhere else ")")
     hits = ", ".join(f"CASE WHEN coalesce(u, '') GLOB '{g}' AND u IS NOT NULL THEN {i} END" for i, _, g in RULES)
