@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.flat_map import flat_map
 from ..sources import docx as D
+from ..sources.services import services
 
 ASSETS = (
     "doc_id string, position int, ref string, kind string, filename string, type string, rel_id string, source_path string, content_type string, relationship_type string, detected_mime string, "
@@ -124,8 +125,8 @@ def register_parser(name: str, parser: Parser) -> None:
 
 
 def parse_main(packages: DataFrame, parser: str = "native") -> DataFrame:
-    f = PARSERS.get(parser) or PARSERS.get(ALIASES.get(parser, ""))
-    return (f or _absent(parser, f"Unsupported main parser: {parser}"))(packages).withColumn("parser", F.lit(parser))
+    f = services().get(parser) or PARSERS.get(parser) or PARSERS.get(ALIASES.get(parser, ""))
+    return (f or _absent(parser, f"Unsupported main parser: {parser}"))(packages).withColumn("parser", F.lit(parser)).select("doc_id", "parser", "content", "warnings")
 
 
 # ---- indexes --------------------------------------------------------------------------------------------------------------
@@ -181,18 +182,17 @@ def manifests(assets_: DataFrame, documents: DataFrame, stamp: Column | None = N
     return d.select("doc_id", "parse_status", stats.alias("content_stats"), F.to_json(body).alias("manifest"))
 
 
+def pure_status(documents: DataFrame) -> DataFrame:
+    """doc_id and the status of a package that holds a parser's text only: failed where it is empty."""
+    return documents.select("doc_id", F.when(F.coalesce("content", F.lit("")) == "", "failed").when(F.size("warnings") > 0, "partial").otherwise("success").alias("parse_status"))
+
+
 def parse_logs(documents: DataFrame) -> DataFrame:
     lines = F.concat(F.array(F.lit("warnings:")), F.transform("warnings", lambda w: F.concat(F.lit("- "), w)))
     status = F.when(F.size("warnings") > 0, "status: partial").otherwise("status: success")
     return documents.select("doc_id", F.concat(status, F.lit("\n"), F.when(F.size("warnings") > 0, F.array_join(lines, "\n")).otherwise("warnings: []"), F.lit("\n")).alias("log"))
 
 
-def semantic_status(statuses: Column) -> Column:
-    """One status for several: ok if any is, else the first that isn't not_configured, else not_configured."""
-    other = F.filter(statuses, lambda s: s != "not_configured")
-    return F.when(F.array_contains(statuses, "ok"), "ok").otherwise(F.coalesce(F.get(other, F.lit(0)), F.lit("not_configured")))
-
-
 def deduplicated(assets_: DataFrame) -> DataFrame:
     """The first asset of each payload within a document: one file a content."""
     w = Window.partitionBy("doc_id", "sha256").orderBy("position")

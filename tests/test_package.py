@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import fidelity as E
+from paperloom.operators import images as I
 from paperloom.operators import package as P
 from paperloom.plans import registry
 from paperloom.sources import cfb, docx, ooxml
+from paperloom.sources import services as V
 from paperloom.sources import writers as W
 from paperloom.streaming import ingest
 
@@ -149,12 +151,43 @@ def test_sql_functions(spark):
 def test_statuses_and_empty_inputs(spark):
     codes = lambda *c: E.exit_status(spark.createDataFrame([(x,) for x in c], "code int")).first()["status"]
     assert codes(0, 0) == 0 and codes(0, 2) == 2 and codes(2, 1) == 1
-    s = spark.createDataFrame([(["ok", "failed"],), (["not_configured", "failed"],), (["not_configured"],)], "s array<string>")
-    assert [r[0] for r in s.select(P.semantic_status(F.col("s"))).collect()] == ["ok", "failed", "not_configured"]
-    none = frame(spark).limit(0) if False else spark.createDataFrame([], "doc_id string, content binary")
+    s = spark.createDataFrame([("logo", "failed"), ("failed", "generated"), ("failed", "x"), ("not_configured", "not_configured"), ("x", "not_configured")], "o string, c string")
+    assert [r[0] for r in s.select(I.combined_status(F.col("o"), F.col("c"))).collect()] == ["logo", "generated", "partial_failed", "not_configured", "not_generated"]
+    none = spark.createDataFrame([], "doc_id string, content binary")
     assert P.assets(none).collect() == [] and P.parse_main(none).collect() == [] and P.groundtruth(none).collect() == []
     nulls = spark.createDataFrame([("n", None), (None, bytearray(b"x"))], "doc_id string, content binary")
     assert P.warnings(P.assets(nulls)).count() == 2 and P.parse_main(nulls).count() == 2
     assert spark.range(1).select(T.safe_filename(F.lit("a\\b/ü x?.txt"))).first()[0] == docx.safe_name("a\\b/ü x?.txt") == "_ x_.txt"
     with pytest.raises(ValueError):
         docx.chart(b"no xml")
+
+
+def test_services(spark):
+    reply = W.zipped({"out/deep/z.md": "no", "out/d.md": "# D\n\n![a](images/p.png) ![b](https://x/y.png) ![c](gone.png)", "out/images/p.png": b"pix"})
+    env = {"MINERU_AUTHORIZATION": "k", "MINERU_ENDPOINT": "http://nowhere"}
+    assert set(V.services(env)) == set(V.BACKENDS) and V.services({}) == {}
+    r = V.services(env, lambda url, head, body, wait: (reply, "application/zip"))["mineru-pipeline"](frame(spark, **{"x/d.docx": b"data"})).first()
+    assert r["content"] == "# D\n\n![a](assets/images/mineru-pipeline/images/p.png) ![b](https://x/y.png) ![c](gone.png)\n" and r["images"][0]["content"] == b"pix" and r["warnings"] == []
+
+    def lost(url, head, body, wait):
+        raise OSError("no route")
+
+    assert V.services(env, lost)["mineru"](frame(spark, d=b"x")).first()["warnings"] == ["mineru service request failed: no route"]
+    ok = json.dumps({"status": "completed", "results": {"other": {"md_content": "o"}, "d": {"md_content": "mine"}}}).encode()
+    assert V.decode(ok, "application/json", "d")[0] == "mine\n" and V.decode(json.dumps({"status": "success", "document": {"md_content": "doc"}}).encode(), "", "d")[0] == "doc\n"
+    for bad in (b"nope", b"{}", json.dumps({"status": "failure"}).encode(), W.zipped({"a.txt": "x"}), W.zipped({"../a.md": "x"}), b"PK\x03\x04junk"):
+        with pytest.raises(ValueError):
+            V.decode(bad, "", "d")
+    body, kind = V.multipart("d.docx", b"data", {"a": ["1", "2"], "b": "c"})
+    assert body.count(kind.partition("=")[2].encode()) == 5 and b'filename="d.docx"' in body
+    assert V.best_markdown(["b/x/d.md", "a.md", "d.txt"], "d") == "b/x/d.md" and V.best_markdown(["b/c.md", "a.md"], "d") == "a.md"
+
+
+def test_images(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (400).to_bytes(4, "big")
+    jpg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + (40).to_bytes(2, "big") + (2000).to_bytes(2, "big")
+    assert I.dimensions(png) == (300, 400) and I.dimensions(jpg) == (2000, 40) and I.dimensions(b"x") is I.dimensions(None) is None
+    rows = [("w", "S", "image_01", "B2", "image_01.png", bytearray(png)), ("w", "数据表", "image_02", None, "image_02.jpg", bytearray(jpg)), ("w", "S", "image_03", None, "my-logo.png", None), ("w", "数据表", "image_04", None, "x.bin", None)]
+    got = {r["asset_ref"]: r for r in I.described(spark.createDataFrame(rows, "workbook string, sheet string, asset_ref string, cell string, filename string, content binary")).collect()}
+    assert [got[f"image_0{k}"]["semantic_status"] for k in (1, 2, 3, 4)] == ["not_configured", "logo", "logo", "not_configured"]
+    assert "anchored at cell B2" in got["image_01"]["description"] and got["image_02"]["description"] is None
