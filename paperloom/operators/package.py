@@ -129,6 +129,27 @@ def parse_main(packages: DataFrame, parser: str = "native") -> DataFrame:
     return (f or _absent(parser, f"Unsupported main parser: {parser}"))(packages).withColumn("parser", F.lit(parser)).select("doc_id", "parser", "content", "warnings")
 
 
+def marked(packages: DataFrame) -> DataFrame:
+    """(doc_id, content): the documents with a sentinel for each asset, to be converted by any parser."""
+
+    def decode(row: dict):
+        p = D.Package(row["content"])
+        yield {"doc_id": row["doc_id"], "content": D.with_sentinels(row["content"], {a["rel_id"]: a["ref"] for a in p.assets()}) if row["content"] else None}
+
+    return flat_map(packages.select("doc_id", "content"), decode, "doc_id string, content binary", flush=16)
+
+
+def place(documents: DataFrame, assets_: DataFrame) -> DataFrame:
+    """documents with references for sentinels, whatever escapes the converter put there; assets without one follow at the end."""
+    refs = found(assets_).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "ref", "markdown_reference"))).alias("refs"))
+
+    def decode(row: dict):
+        own = {r["ref"]: r["markdown_reference"] for r in row.pop("refs") or []}
+        yield row | {"content": D.placed(row["content"] or "", own)}
+
+    return flat_map(documents.select("doc_id", "parser", "content", "warnings").join(refs, "doc_id", "left"), decode, DOCUMENTS)
+
+
 # ---- indexes --------------------------------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree as ET
 
 from ..functions import text as T
 from . import cfb
@@ -569,6 +570,30 @@ def placed(markdown: str, references_: dict[str, str]) -> str:
     return ("\n\n".join([out.rstrip(), *rest]) if rest else out).strip() + "\n"
 
 
+def with_sentinels(data: bytes, refs: dict[str, str]) -> bytes:
+    """The same DOCX with the run of each asset's first reference replaced by its sentinel, for converters that know no assets."""
+    parts, _ = read_zip(data)
+    root = parse(parts.get("word/document.xml"))
+    if root is None:
+        return data
+    above, seen = {c: x for x in root.iter() for c in x}, set()
+    for e in list(root.iter()):
+        rid = next(iter(references(e)), None)
+        if rid in refs and rid not in seen:
+            seen.add(rid)
+            run = e
+            while run is not None and run.tag != f"{{{WORD}}}r":
+                run = above.get(run)
+            run = e if run is None else run
+            run.clear()
+            ET.SubElement(run, f"{{{WORD}}}t").text = SENTINEL.format(refs[rid])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, x in parts.items():
+            z.writestr(zipfile.ZipInfo(name), ET.tostring(root, "utf-8", xml_declaration=True) if name == "word/document.xml" else x, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 # ---- ground truth ---------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.__main__ import main
 from paperloom.functions import text as T
 from paperloom.operators import fidelity as E
 from paperloom.operators import images as I
@@ -98,6 +99,26 @@ def test_sentinels_resolve_whatever_the_escapes():
     assert out == "x ![](i) y [c](c) \\[\\[LOOM_ASSET:none\\]\\]\n\n[a](a)\n"
 
 
+def test_marked_documents_are_placed(spark):
+    d = frame(spark, d=full())
+    m = P.marked(d)
+    assert P.found(P.assets(m)).filter("rel_id not like 'scan:%'").count() == 4
+    text = P.parse_main(m, "native-pure")
+    assert "See[[LOOM_ASSET:attachment_01]]" in text.first()["content"]
+    done = P.place(text, P.assets(d)).first()["content"]
+    assert "See[profit.xlsx](resources/attachment_01/preview.md)" in done and "LOOM" not in done and done.endswith("[other.txt](resources/attachment_02/preview.md)\n")
+
+
+def test_command_line(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.docx").write_bytes(W.docx(W.paragraph("fine")))
+    assert main(["batch", str(src), str(tmp_path / "o1")], spark) == 0
+    (src / "b.docx").write_bytes(b"bad")
+    assert main(["batch", str(src), str(tmp_path / "o2"), "--main-parser", "sectioned"], spark) == 2
+    assert main(["pipeline", str(src / "a.docx"), str(tmp_path / "o3")], spark) == 0 and main(["parser", "pandoc", str(src / "a.docx"), str(tmp_path / "o4")], spark) == 1
+
+
 def test_groundtruth_scores_its_own_package(spark):
     gt = P.groundtruth(frame(spark, **{"a/d.docx": full()}))
     row = gt.first()
