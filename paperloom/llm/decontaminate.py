@@ -270,19 +270,24 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", "m.lcs_share", "m.cosine")
 
 
+def _leaks(shared: Shared):
+    """A column function: text -> whether it holds an item of the block."""
+
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        p, out = shared.get(), np.zeros(len(texts), bool)
+        for c in chunks(texts):
+            for t, _ in _matches(p, c):
+                out[c.first + t] = True
+        return pa.array(out)
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
     for shared in _blocks(docs, benchmark):
-
-        @F.arrow_udf("boolean")
-        def leaks(texts: pa.Array, shared=shared) -> pa.Array:
-            p, out = shared.get(), np.zeros(len(texts), bool)
-            for c in chunks(texts):
-                for t, _ in _matches(p, c):
-                    out[c.first + t] = True
-            return pa.array(out)
-
-        docs = docs.filter(~leaks("text"))
+        docs = docs.filter(~_leaks(shared)("text"))
     return docs
 
 
