@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,14 +57,30 @@ class Shared:
 
     def get(self):
         if self.key not in _built:
-            if len(_built) > 2:
+            if len(_built) > 1:
                 _built.clear()
             _built[self.key] = self.build(self.value.value)
         return _built[self.key]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and an executor's add up."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """f over the batches of each partition."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

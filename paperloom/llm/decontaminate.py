@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Shared, arrow_map, cut, table
+from ._spark import Shared, arrow_map, cut, release, table
 from ._text import Table, U, chunks
 
 WINDOW, STEP, PASSAGE = 32, 16, 128
@@ -279,6 +279,7 @@ def _leaks(shared: Shared):
         for c in chunks(texts):
             for t, _ in _matches(p, c):
                 out[c.first + t] = True
+        release()
         return pa.array(out)
 
     return leaks

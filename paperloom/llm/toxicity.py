@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Shared, arrow_map, cut, join_small, table
+from ._spark import Shared, arrow_map, cut, join_small, release, table
 from ._text import Table, U, chunks, i64, sums
 
 #: A word rarer than this in the labelled documents is the unknown word.
@@ -201,7 +201,9 @@ def scorer(spark: SparkSession, model: Model | None):
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        return pa.array(_score(shared, texts))
+        out = _score(shared, texts)
+        release()
+        return pa.array(out)
 
     return toxicity
 
