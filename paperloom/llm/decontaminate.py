@@ -9,7 +9,11 @@
    a window's squared norm is the sum of its words' squared weights. Its cosine with an item can't exceed the share of its norm
    that lies on benchmark terms, so only windows whose share reaches COSINE are projected into the latent space, without loss.
    Items with a cosine of at least COSINE are candidates.
-4. A candidate is checked around the window, as far as the item is long: the longest common subsequence of words must cover
+4. RANK vectors can't hold a benchmark of many more than RANK dissimilar passages, so candidates are found exactly, too. To
+   cover PARAPHRASE of a passage of n words, m = ceil(PARAPHRASE n) of them must lie in the span of step 5; n - m are free to be
+   missing, so of its n - m + t rarest words at least t are there. Postings of these words give, with t = HITS (m if that is
+   less), every window and passage that step 5 could accept.
+5. A candidate is checked around the window, as far as the item is long: the longest common subsequence of words must cover
    VERBATIM of the item, or PARAPHRASE of it with ANSWER of the words of its answer (its last sentence) present too.
 
 Windows cover whole texts, every document is a query, and nothing is capped. The terms and latent vectors are broadcast in
@@ -39,6 +43,8 @@ RANK, OVERSAMPLE, POWER = 128, 16, 2
 COSINE = 0.25
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 20_000
+#: Of a passage's rarest words, so many must lie around a window; passages whose postings are read at a time.
+HITS, SLICE = 4, 2000
 _PASS = "item long, text string, answer string"
 
 
@@ -168,6 +174,42 @@ class _Probe:
         np.add.at(self.latent, row, value[:, None].astype(np.float32) * self.space[at])
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-12)
         self.masks = [None] * len(self.words)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        need = np.ceil(PARAPHRASE * self.sizes - 1e-9).astype(np.int64)
+        self.hits = np.minimum(HITS, need)
+        self.postings = [self._postings(k, self.sizes - need + self.hits) for k in range(0, len(self.words), SLICE)]
+
+    def _postings(self, lo: int, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First posting of each term, and the passages of a slice, by term, that have it among their rarest words."""
+        cells = []
+        for k in range(lo, min(lo + SLICE, len(self.words))):
+            at = self.terms.find(self.words[k]).astype(np.int64)
+            cells.append(np.unique(at[np.argsort(-self.idf[at], kind="stable")[: rarest[k]]]) << 32 | k)
+        cells = np.sort(np.concatenate(cells))
+        return np.searchsorted(cells >> 32, np.arange(len(self.idf) + 1)), cells & 0xFFFFFFFF
+
+    def near(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """window << 32 | passage of each window around which enough of the passage's words occur for a match; at: terms, or -1."""
+        lens = np.diff(bounds)
+        of, windows = np.repeat(np.arange(len(lens)), lens), _window_counts(lens)
+        first = np.cumsum(windows) - windows
+        pos, out = np.flatnonzero(at >= 0), [np.zeros(0, np.int64)]
+        for ptr, passage in self.postings:
+            begin = ptr[at[pos]]
+            n = ptr[at[pos] + 1] - begin
+            hit = np.sort(passage[_ranges(begin, n)] << 32 | np.repeat(pos, n))
+            k, x = hit >> 32, hit & 0xFFFFFFFF
+            last = np.arange(len(hit)) + self.hits[k] - 1
+            some = np.flatnonzero(last < len(hit))
+            k, x, z, same = k[some], x[some], x[last[some]], k[last[some]] == k[some]
+            ok = same & (of[z] == of[x]) & (z - x < WINDOW + 2 * self.sizes[k])
+            k, x, z = k[ok], x[ok], z[ok]
+            text, size = of[x], self.sizes[k]
+            lo = np.maximum(0, (z - bounds[text] - WINDOW - size) // STEP + 1)
+            hi = np.minimum(windows[text] - 1, (x - bounds[text] + size) // STEP)
+            n = np.maximum(0, hi - lo + 1)
+            out.append(np.unique(_ranges(first[text] + lo, n) << 32 | np.repeat(k, n)))
+        return np.concatenate(out)
 
     def lcs(self, k: int, span: np.ndarray) -> int:
         """Length of the longest common subsequence of item k and a span, bit-parallel over the item."""
@@ -185,11 +227,29 @@ class _Probe:
         return len(self.words[k]) - v.bit_count()
 
 
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each of n numbers."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def _window_counts(lens: np.ndarray) -> np.ndarray:
+    return np.where(lens > 0, 1 + np.maximum(0, -(-(lens - WINDOW) // STEP)), 0)
+
+
 def _windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text of each window, and its first word within the text."""
-    n = np.where(lens > 0, 1 + np.maximum(0, -(-(lens - WINDOW) // STEP)), 0)
-    of = np.repeat(np.arange(len(lens)), n)
-    return of, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STEP
+    n = _window_counts(lens)
+    return np.repeat(np.arange(len(lens)), n), _ranges(np.zeros_like(n), n) * STEP
+
+
+def _latent(p: _Probe, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Latent vector of each window lo:hi of terms (-1 for none)."""
+    n = hi - lo
+    pos, row = _ranges(lo, n), np.repeat(np.arange(len(n)), n)
+    cell, count = np.unique((row.astype(np.int64) << 32 | at[pos])[at[pos] >= 0], return_counts=True)
+    out = np.zeros((len(n), p.space.shape[1]), np.float32)
+    np.add.at(out, cell >> 32, (np.sqrt(count) * p.idf[cell & 0xFFFFFFFF])[:, None].astype(np.float32) * p.space[cell & 0xFFFFFFFF])
+    return out
 
 
 def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
@@ -206,26 +266,26 @@ def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
     of, start = _windows(np.diff(bounds))
     lo = bounds[of] + start
     hi = np.minimum(lo + WINDOW, bounds[of + 1])
+    norm = np.sqrt(np.maximum(sq[hi] - sq[lo], 1e-12))
     some = np.flatnonzero(sq_in[hi] - sq_in[lo] >= COSINE**2 * (sq[hi] - sq[lo]))
+    pairs = [p.near(at, bounds)]
     for part in np.array_split(some, max(1, len(some) // 2000)):
-        if not len(part):
-            continue
-        n = hi[part] - lo[part]
-        pos = np.repeat(lo[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(np.arange(len(part)), n)
-        cell, count = np.unique((row.astype(np.int64) << 32 | at[pos])[known[pos]], return_counts=True)
-        latent = np.zeros((len(part), p.space.shape[1]), np.float32)
-        np.add.at(latent, cell >> 32, (np.sqrt(count) * p.idf[cell & 0xFFFFFFFF])[:, None].astype(np.float32) * p.space[cell & 0xFFFFFFFF])
-        norm = np.sqrt(sq[hi[part]] - sq[lo[part]])
-        cos = (latent / norm[:, None]) @ p.latent.T
-        for i, k in zip(*np.nonzero(cos >= COSINE), strict=True):
-            text, window, size = int(of[part[i]]), part[i], len(p.words[k])
-            a, b = max(bounds[text], lo[window] - size), min(bounds[text + 1], hi[window] + size)
-            span = h[a:b]
-            share_ = p.lcs(int(k), span) / size
-            if share_ >= VERBATIM or share_ >= PARAPHRASE and np.isin(p.answer[k], span).mean() >= ANSWER:
-                key2 = (text, int(k))
-                found[key2] = max(found.get(key2, (0.0, 0.0)), (share_, float(cos[i, k])))
+        if len(part):
+            i, k = np.nonzero((_latent(p, at, lo[part], hi[part]) / norm[part, None]) @ p.latent.T >= COSINE)
+            pairs.append(part[i] << 32 | k)
+    hits = []
+    for pair in np.unique(np.concatenate(pairs)).tolist():
+        window, k = pair >> 32, pair & 0xFFFFFFFF
+        text, size = int(of[window]), len(p.words[k])
+        span = h[max(bounds[text], lo[window] - size) : min(bounds[text + 1], hi[window] + size)]
+        share_ = p.lcs(k, span) / size
+        if share_ >= VERBATIM or share_ >= PARAPHRASE and np.isin(p.answer[k], span).mean() >= ANSWER:
+            hits.append((text, window, k, share_))
+    if hits:
+        windows, row = np.unique([w for _, w, _, _ in hits], return_inverse=True)
+        latent = _latent(p, at, lo[windows], hi[windows]) / norm[windows, None]
+        for (text, _, k, share_), r in zip(hits, row, strict=True):
+            found[text, k] = max(found.get((text, k), (0.0, 0.0)), (share_, float(latent[r] @ p.latent[k])))
     return found
 
 

@@ -87,3 +87,19 @@ def test_empty(spark, docs):
     rows, items = sample(4)
     assert C.pairs(docs([]), bench(spark, items)).collect() == [] and C.pairs(docs(rows), bench(spark, [])).collect() == []
     assert C.clean(docs(rows), bench(spark, [])).count() == len(rows) and C.clean(docs([]), bench(spark, items)).collect() == []
+
+
+def test_thousands_of_dissimilar_items(spark, docs):
+    """Many more items than latent dimensions: every copy is found, whole or with words replaced."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"v{int(20_000 * rng.random() ** 3)}" for _ in range(n))
+    items, rows = [(k, text(rng.randint(15, 59))) for k in range(2000)], []
+    for k in range(120):
+        body, own = words(text(rng.randint(40, 200))), words(items[15 * k][1])
+        at = rng.randint(0, len(body))
+        body[at:at] = [f"o{rng.randrange(500)}" if rng.random() < 0.1 * (k % 3) else x for x in own]
+        rows.append((k, " ".join(body)))
+    got = {(r["doc_id"], r["item_id"]) for r in C.pairs(docs(rows), bench(spark, items)).collect()}
+    some = [(k, i) for k in range(120) for i in (items[15 * k], items[15 * k + 1])]
+    want = {pair for k, i in some for pair in brute([rows[k]], [i])}
+    assert {(k, i) for k, (i, _) in some if (k, i) in got} == want and len(want) >= 100
