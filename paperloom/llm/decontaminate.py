@@ -1,20 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; their document frequencies are counted over all documents and items. A word outside
-   the benchmark weighs as much as one seen once.
+1. Terms are the words of the benchmark; their document frequencies are counted over all documents and items. Words outside
+   the benchmark have no weight.
 2. The benchmark's passages, as TF-IDF rows, are decomposed by a randomised SVD whose products (A'A times a block of vectors)
    are summed over the rows' partitions; RANK right singular vectors span the latent space. An item of more than PASSAGE words
    is cut into overlapping passages, each of which counts as an item of its own until the last step.
-3. Every document is read in overlapping windows of WINDOW words, at a step of STEP. Term frequencies count by their root, so
-   a window's squared norm is the sum of its words' squared weights. Its cosine with an item can't exceed the share of its norm
-   that lies on benchmark terms, so only windows whose share reaches COSINE are projected into the latent space, without loss.
-   Items with a cosine of at least COSINE are candidates.
-4. RANK vectors can't hold a benchmark of many more than RANK dissimilar passages, so candidates are found exactly, too. To
-   cover PARAPHRASE of a passage of n words, m = ceil(PARAPHRASE n) of them must lie in the span of step 5; n - m are free to be
-   missing, so of its n - m + t rarest words at least t are there. Postings of these words give, with t = HITS (m if that is
-   less), every window and passage that step 5 could accept.
-5. A candidate is checked around the window, as far as the item is long: the longest common subsequence of words must cover
-   VERBATIM of the item, or PARAPHRASE of it with ANSWER of the words of its answer (its last sentence) present too.
+3. Every document is read in overlapping windows of WINDOW words, at a step of STEP. RANK vectors can't hold a benchmark of
+   many more than RANK dissimilar passages, and a threshold of the cosine would tighten with the words around a copy, so
+   candidates are found exactly. To cover PARAPHRASE of a passage of n words, m = ceil(PARAPHRASE n) of them must lie in the span
+   of step 4; n - m are free to be missing, so of its n - m + t rarest words at least t are there. Postings of these words give,
+   with t = HITS (m if that is less), every window and passage that step 4 could accept.
+4. A candidate is checked around the window, as far as the item is long: the longest common subsequence of words must cover
+   VERBATIM of the item, or PARAPHRASE of it with ANSWER of the words of its answer (its last sentence) present too. A match is reported with the cosine
+   of window and passage in the latent space, which ranks matches and excludes none.
 
 Windows cover whole texts, every document is a query, and nothing is capped. The terms and latent vectors are broadcast in
 blocks of BLOCK_ITEMS passages, one pass over the documents each, so what is sent stays bounded however large the benchmark is.
@@ -40,7 +38,6 @@ from ._text import Table, U, chunks
 
 WINDOW, STEP, PASSAGE = 32, 16, 128
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-COSINE = 0.25
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 20_000
 #: Of a passage's rarest words, so many must lie around a window; passages whose postings are read at a time.
@@ -167,7 +164,7 @@ def latent_space(items: DataFrame, terms: np.ndarray, idf: np.ndarray) -> np.nda
 
 class _Probe:
     def __init__(self, v: dict):
-        self.terms, self.idf, self.space, self.unseen = Table(v["terms"]), v["idf"], v["space"], v["unseen"]
+        self.terms, self.idf, self.space = Table(v["terms"]), v["idf"], v["space"]
         self.item, self.words, self.answer = v["item"], v["words"], v["answer"]
         row, at, value = _tfidf(self.words, self.terms, self.idf)
         self.latent = np.zeros((len(self.words), self.space.shape[1]), np.float32)
@@ -259,22 +256,11 @@ def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
     if not len(h):
         return found
     at = p.terms.find(h)
-    known = at >= 0
-    weight = np.where(known, p.idf[at], p.unseen)
-    sq = np.concatenate(([0.0], np.cumsum(weight**2)))
-    sq_in = np.concatenate(([0.0], np.cumsum(np.where(known, weight**2, 0))))
     of, start = _windows(np.diff(bounds))
     lo = bounds[of] + start
     hi = np.minimum(lo + WINDOW, bounds[of + 1])
-    norm = np.sqrt(np.maximum(sq[hi] - sq[lo], 1e-12))
-    some = np.flatnonzero(sq_in[hi] - sq_in[lo] >= COSINE**2 * (sq[hi] - sq[lo]))
-    pairs = [p.near(at, bounds)]
-    for part in np.array_split(some, max(1, len(some) // 2000)):
-        if len(part):
-            i, k = np.nonzero((_latent(p, at, lo[part], hi[part]) / norm[part, None]) @ p.latent.T >= COSINE)
-            pairs.append(part[i] << 32 | k)
     hits = []
-    for pair in np.unique(np.concatenate(pairs)).tolist():
+    for pair in p.near(at, bounds).tolist():
         window, k = pair >> 32, pair & 0xFFFFFFFF
         text, size = int(of[window]), len(p.words[k])
         span = h[max(bounds[text], lo[window] - size) : min(bounds[text + 1], hi[window] + size)]
@@ -283,7 +269,8 @@ def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
             hits.append((text, window, k, share_))
     if hits:
         windows, row = np.unique([w for _, w, _, _ in hits], return_inverse=True)
-        latent = _latent(p, at, lo[windows], hi[windows]) / norm[windows, None]
+        latent = _latent(p, at, lo[windows], hi[windows])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         for (text, _, k, share_), r in zip(hits, row, strict=True):
             found[text, k] = max(found.get((text, k), (0.0, 0.0)), (share_, float(latent[r] @ p.latent[k])))
     return found
@@ -305,7 +292,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> list[Shared]:
         part = items if rows <= BLOCK_ITEMS else items.filter(F.pmod(F.xxhash64("words"), F.lit(math.ceil(rows / BLOCK_ITEMS))) == k)
         got = part.orderBy("item", "words").toArrow()
         as_list = lambda name: [np.asarray(x, np.int64).view(U) for x in got[name].to_pylist()]  # noqa: B023, E731
-        value = {"terms": terms, "idf": idf, "space": space, "unseen": math.log((n + rows + 1) / 1.5), "item": got["item"].to_pylist(), "words": as_list("words"), "answer": as_list("answer")}
+        value = {"terms": terms, "idf": idf, "space": space, "item": got["item"].to_pylist(), "words": as_list("words"), "answer": as_list("answer")}
         out.append(Shared(spark, value, _Probe))
     return out
 

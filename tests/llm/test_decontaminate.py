@@ -103,3 +103,35 @@ def test_thousands_of_dissimilar_items(spark, docs):
     some = [(k, i) for k in range(120) for i in (items[15 * k], items[15 * k + 1])]
     want = {pair for k, i in some for pair in brute([rows[k]], [i])}
     assert {(k, i) for k, (i, _) in some if (k, i) in got} == want and len(want) >= 100
+
+
+def probe(items, df, n):
+    """What the windows of a benchmark are judged by, with given document frequencies over n documents; no Spark."""
+    import numpy as np
+    import pyarrow as pa
+
+    from paperloom.llm._text import chunks
+
+    hashes = [next(chunks(pa.array([t]))).words()[2] for _, t in items]
+    terms, own = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    idf = np.log((n + len(items) + 1) / (df + own + 0.5))
+    space = np.linalg.qr(np.random.default_rng(1).standard_normal((len(terms), C.RANK)))[0].astype(np.float32)
+    return C._Probe({"terms": terms, "idf": idf, "space": space, "unseen": np.log((n + len(items) + 1) / 1.5), "item": [i for i, _ in items], "words": hashes, "answer": [h[-6:] for h in hashes]})
+
+
+def found(p, texts):
+    import pyarrow as pa
+
+    from paperloom.llm._text import chunks
+
+    return {(c.first + t, p.item[k]): cosine for c in chunks(pa.array(texts)) for (t, k), (_, cosine) in C._matches(p, c).items()}
+
+
+def test_copies_are_found_at_every_size():
+    """Short items within words outside the benchmark, with the counts of a corpus of 10,000 and of 20,000,000 documents."""
+    rng = random.Random(6)
+    items = [(k, " ".join(f"v{int(600 * rng.random() ** 2)}" for _ in range(15))) for k in range(100)]
+    filler = lambda: " ".join(f"o{rng.randrange(300)}" for _ in range(50))
+    texts = [f"{filler()} {i} {filler()}" for _, i in items]
+    one, many = (found(probe(items, 1500 * scale, 10_000 * scale), texts) for scale in (1, 2000))
+    assert {(k, k) for k in range(100)} <= set(one) == set(many) and all(abs(one[p] - many[p]) < 0.01 for p in one)
