@@ -63,3 +63,8 @@ def test_pack_holds_all_pieces(docs):
 def test_empty_table(docs):
     assert P.pack(docs([])).collect() == []
     assert P.pack(docs([(1, None), (2, "")])).collect() == []
+
+
+def test_a_long_text_without_spaces_is_one_word(docs):
+    got = [(r["doc_id"], r["piece"], r["tokens"]) for r in P.pieces(docs([(1, "x" * 100_000), (2, "\u6587" * 50_000)])).collect()]
+    assert sorted(got) == [(1, 0, 1), (2, 0, 1)]
