@@ -5,7 +5,7 @@ bigram once. A bigram backs off to its class's continuation counts (in how many
 continuation counts pooled over both classes. An expression has probabilities of its own in the two classes only where their
 counts differ significantly (likelihood-ratio test at SIGNIFICANCE) and by RATIO; all others share the pooled ones, so rare words add no
 noise to a score. A text's score is (log P_toxic - log P_ordinary) per word; it is toxic above the threshold that has the best
-F1 on the held-out fold. Scores are sums of fixed-point numbers, so they don't depend on the partitioning.
+F1 on the held-out fold, or above 0 where that fold has under 5 toxic documents. Scores are sums of fixed-point numbers, so they don't depend on the partitioning.
 
 Cases. Null or empty text, or text without words: score 0.0, not toxic. Null doc_id: scored like any other row, never used for
 fitting. A doc_id labelled twice counts as toxic if any label says so; labels that are null are ignored. Repeated rows each get
@@ -173,8 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     fixed = lambda a: np.rint(SCALE * (np.log(a["t"]) - np.log(a["o"]))).astype(np.int32)
     model = Model(words.view(U), fixed(word), fixed(back), (u.astype(np.int64) << 32) | v, fixed(cond))
     best = _threshold(rows.filter("held"), model)
-    best = _threshold(rows, model) if best is None else best
-    model.threshold = float("inf") if best is None else max(0.0, best)  # never under 0: a text without words isn't toxic
+    model.threshold = max(0.0, best or 0.0)  # 0 where the fold is too small; never under 0: a text without words isn't toxic
     return model
 
 

@@ -133,3 +133,13 @@ def test_lookup_table():
     t = Table(keys)
     assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + np.uint64(1)) == -1).all()
     assert Shared is not None
+
+
+def test_few_toxic_documents_have_a_threshold(spark, docs):
+    """With under 5 toxic documents held out, or in all, the threshold is 0."""
+    plain = [r for r in sample(200, 8) if not r[2]][:80]
+    bad = [(1000 + k, " ".join(BAD * 4), 1) for k in range(15)]
+    d, labels = tables(spark, docs, plain + bad)
+    toxic = {r["doc_id"] for r in X.score(d, labels).collect() if r["toxic"]}
+    assert X.fit(d, labels).threshold == 0.0 and {r[0] for r in bad} <= toxic
+    assert X.fit(*tables(spark, docs, plain + bad[:4])).threshold == 0.0
