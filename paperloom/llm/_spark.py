@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,23 +15,36 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder. Without one, executors couldn't read what others write, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="paperloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+    if not named and spark.sparkContext.master.startswith("local"):
+        # one machine, one process: its folder is shared by definition
+        spark.sparkContext.setCheckpointDir(f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/paperloom")
         named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can read and write")
     return named
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written in the shared folder: computed once, and safe when an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,13 +7,15 @@ prefix hash gives every substring's hash in O(1). Pairs that share a key, and wh
 verified with a banded bit-parallel edit distance. The join is exact.
 
 A line is what lies between newlines, without surrounding ASCII white space; distances count UTF-8 bytes, and case matters. A
-line of at least MIN_BYTES bytes is a repeat if an equal line, or one within TAU edits, occurs earlier in the order of
-(doc_id, line number). Shorter lines are left alone.
+line of one byte or more is a repeat if an equal line occurs earlier in the order of (doc_id, line number), or if both have
+MIN_NEAR bytes at least and lie within TAU edits. Shorter lines are compared for equality only, as two edits can make any short
+line of any other. Blank lines are no lines.
 
 Cases. Null and empty texts have no lines and stay as they are. Rows with a null doc_id have no place in the order: they are
-neither repeats nor originals, and pass unchanged. Rows that share a doc_id are the same document: only (doc_id, line number)
-counts, so equal rows keep equal lines. A line of any length is taken whole. A document that had lines and is left without any
-word is dropped by clean(). Columns other than doc_id, text and n_chars (which clean() counts anew) pass through untouched.
+neither repeats nor originals, and pass unchanged. Rows that share a doc_id and differ in their text are taken apart by a hash
+of the text, which breaks ties in the order: each loses its own repeats only. Rows that share both are one occurrence, and keep
+equal lines. A line of any length is taken whole. A document that had lines and is left without any word is dropped by clean().
+Columns other than doc_id, text and n_chars (which clean() counts anew) pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, cut, join_small, table
+from ._spark import arrow_map, cut, free_name, join_small, table
 from ._text import SPACE, Chunk, U, chunks, i64, mix, substrings
 
 TAU = 2
-MIN_BYTES = 20
+#: Lines of fewer bytes are compared for equality only.
+MIN_NEAR = 20
 #: Pairs that a bucket makes at a time.
 BLOCK = 1 << 20
 
@@ -71,10 +74,10 @@ def _entries(prefix: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) ->
     return np.concatenate(keys), np.concatenate(lines)
 
 
-def _long_lines(c: Chunk) -> tuple[np.ndarray, ...]:
-    """Start, end, text, number and hash (its two lowest bits 0) of the lines that count, and the prefix hash."""
+def _solid_lines(c: Chunk, least: int) -> tuple[np.ndarray, ...]:
+    """Start, end, text, number and hash (its two lowest bits 0) of the lines of at least so many bytes, and the prefix hash."""
     s, e, at, number = lines_of(c)
-    ok = e - s >= MIN_BYTES
+    ok = e - s >= least
     s, e, at, number = s[ok], e[ok], at[ok], number[ok]
     prefix = c.prefix()
     return s, e, at, number, substrings(prefix, s, e) & ~U(3), prefix
@@ -83,7 +86,7 @@ def _long_lines(c: Chunk) -> tuple[np.ndarray, ...]:
 def _keys(batches):
     for b in batches:
         for c in chunks(b.column("text"), lower=False):
-            s, e, _, _, h, prefix = _long_lines(c)
+            s, e, _, _, h, prefix = _solid_lines(c, MIN_NEAR)
             if len(s):
                 h, once = np.unique(h, return_index=True)
                 keys, lines = _entries(prefix, s[once], e[once], h)
@@ -96,11 +99,12 @@ _LANES = U(1) << (U(8) * (np.arange(256).astype(U) & U(7)))
 
 def _occurrences(batches):
     for b in batches:
-        ids = b.column("doc_id")
+        ids, version = b.column("doc_id"), b.column("version")
         for c in chunks(b.column("text"), lower=False):
-            s, e, at, number, h, _ = _long_lines(c)
+            s, e, at, number, h, _ = _solid_lines(c, 1)
             lanes = np.concatenate((np.zeros(1, U), np.cumsum(_LANES[c.data], dtype=U)))
-            yield pa.record_batch({"line": i64(h), "doc_id": ids.take(pa.array(at + c.first)), "line_no": number.astype(np.int32), "size": (e - s).astype(np.int32), "sketch": i64(lanes[e] - lanes[s])})
+            row = pa.array(at + c.first)
+            yield pa.record_batch({"line": i64(h), "doc_id": ids.take(row), "line_no": number.astype(np.int32), "version": version.take(row), "size": (e - s).astype(np.int32), "sketch": i64(lanes[e] - lanes[s])})
 
 
 def histogram_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,7 +203,7 @@ def _wanted(batches):
         row = np.repeat(np.arange(len(want)), np.diff(np.asarray(want.offsets)))
         keys = np.unique(mix(np.asarray(want.flatten()).view(U) ^ mix(row.astype(U))))
         for c in chunks(b.column("text"), lower=False):
-            s, e, at, _, h, _ = _long_lines(c)
+            s, e, at, _, h, _ = _solid_lines(c, MIN_NEAR)
             ok = np.isin(mix(h ^ mix((at + c.first).astype(U))), keys)
             s, e, h = s[ok], e[ok], h[ok]
             if len(s):
@@ -220,13 +224,13 @@ def _verify(batches):
         yield pa.record_batch({"a": b.column("a").filter(ok), "b": b.column("b").filter(ok), "d": pa.array(d.astype(np.int32)).filter(ok)})
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), kept_doc_id, kept_line_no, distance: each repeated line, and the earliest line within TAU edits."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+def _repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no and version (hash of the text) of each repeated line, and orig: the earliest line like it, with its distance."""
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = cut(arrow_map(texts, _occurrences, f"line long, doc_id {kind}, line_no int, size int, sketch long"))
-    first = cut(seen.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    seen = cut(arrow_map(texts, _occurrences, f"line long, doc_id {kind}, line_no int, version long, size int, sketch long"))
+    place = F.struct("doc_id", "line_no", "version")
+    first = cut(seen.groupBy("line").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
 
     @F.arrow_udf("int")
     def gap(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -234,7 +238,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     entries = arrow_map(texts.select("text"), _keys, "key long, line long").repartition("key")
     pairs = arrow_map(entries, _pairs, "a long, b long").distinct()
-    side = lambda c: first.select(F.col("line").alias(c), F.col("at").alias(f"{c}_at"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+    side = lambda c: first.filter(F.col("size") >= MIN_NEAR).select(F.col("line").alias(c), F.col("at").alias(f"{c}_at"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.col("a_size") - F.col("b_size")) <= TAU)
     pairs = cut(pairs.filter(gap("a_sketch", "b_sketch") <= 2 * TAU).select("a", "b", "a_at", "b_at"))
     want = pairs.select(F.explode(F.array(F.struct(F.col("a_at.doc_id").alias("doc_id"), F.col("a").alias("line")), F.struct(F.col("b_at.doc_id").alias("doc_id"), F.col("b").alias("line")))).alias("w"))
@@ -245,21 +249,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = arrow_map(both, _verify, "a long, b long, d int").join(pairs, ["a", "b"])
     a_first = F.col("a_at") < F.col("b_at")
     near = near.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("line"), F.struct(F.least("a_at", "b_at").alias("at"), "d").alias("orig")).groupBy("line").agg(F.min("orig").alias("orig"))
-    best = first.join(near, "line", "left").select("line", F.coalesce(F.col("orig"), F.struct("at", F.lit(0).alias("d"))).alias("orig"))
-    out = seen.join(best, "line").filter(F.struct("doc_id", "line_no") != F.col("orig.at"))
-    return out.select("doc_id", "line_no", F.col("orig.at.doc_id").alias("kept_doc_id"), F.col("orig.at.line_no").alias("kept_line_no"), F.col("orig.d").alias("distance")).distinct()
+    # a line that occurs once and is near no earlier one has no repeat
+    best = first.join(near, "line", "left").filter(F.col("orig").isNotNull() | (F.col("at") != F.col("last")))
+    best = best.select("line", F.coalesce(F.col("orig"), F.struct("at", F.lit(0).alias("d"))).alias("orig"))
+    out = seen.select("line", "doc_id", "line_no", "version").join(best, "line").filter(place != F.col("orig.at"))
+    return out.select("doc_id", "line_no", "version", "orig")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), kept_doc_id, kept_line_no, distance: each repeated line, and the earliest line like it."""
+    return _repeats(docs).select("doc_id", "line_no", F.col("orig.at.doc_id").alias("kept_doc_id"), F.col("orig.at.line_no").alias("kept_line_no"), F.col("orig.d").alias("distance")).distinct()
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs, all columns, without repeated lines; documents of which no word is left are dropped."""
-    gone = cut(repeats(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")))
-    rows = docs.join(gone, "doc_id", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    rows = rows.filter(F.col("__gone").isNull() | F.col("text").rlike("[\\p{L}\\p{N}]")).drop("__gone")
+    gone, key, version = (free_name(docs, f"paperloom_{x}") for x in ("gone", "key", "version"))
+    lines = cut(_repeats(docs).groupBy(F.col("doc_id").alias(key), F.col("version").alias(version)).agg(F.collect_set("line_no").alias(gone)))
+    named = docs.filter("doc_id is not null and text is not null")
+    rows = named.join(lines, (named["doc_id"] == lines[key]) & (F.xxhash64(named["text"]) == lines[version]), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    rows = rows.filter(F.col(gone).isNull() | F.col("text").rlike("[\\p{L}\\p{N}]")).select(*docs.columns)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    # rows without a name or text pass beside the join, where they would all meet in one task
+    return rows.unionByName(docs.filter("doc_id is null or text is null"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,11 +284,12 @@ SQL = f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 lines AS (SELECT DISTINCT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(ls[i], '^[\t-\r ]+|[\t-\r ]+$', '', 'g') AS l
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)),
-long AS (SELECT *, strlen(l) AS n FROM lines WHERE strlen(l) >= {MIN_BYTES}),
+long AS (SELECT *, strlen(l) AS n FROM lines WHERE l <> ''),
 firsts AS (SELECT l, n, min({{'d': doc_id, 'k': line_no}}) AS at FROM long GROUP BY l, n),
-near AS (SELECT x.l, min({{'at': y.at, 'd': CAST(levenshtein(x.l, y.l) AS INTEGER)}}) AS orig FROM firsts x
-  JOIN (SELECT *, unnest(range(n - {TAU}, n + {TAU} + 1)) AS m FROM firsts) y ON x.n = y.m AND y.at <= x.at
-  WHERE levenshtein(x.l, y.l) <= {TAU} GROUP BY x.l)
+close AS (SELECT x.l, {{'at': y.at, 'd': CAST(levenshtein(x.l, y.l) AS INTEGER)}} AS orig FROM firsts x
+  JOIN (SELECT *, unnest(range(n - {TAU}, n + {TAU} + 1)) AS m FROM firsts WHERE n >= {MIN_NEAR}) y ON x.n = y.m AND x.n >= {MIN_NEAR} AND y.at <= x.at
+  WHERE levenshtein(x.l, y.l) <= {TAU}),
+near AS (SELECT l, min(orig) AS orig FROM (SELECT * FROM close UNION ALL SELECT l, {{'at': firsts.at, 'd': 0::INTEGER}} FROM firsts WHERE n < {MIN_NEAR}) GROUP BY l)
 SELECT doc_id, line_no, orig.at.d AS kept_doc_id, orig.at.k AS kept_line_no, orig.d AS distance
 FROM long JOIN near USING (l) WHERE (doc_id, line_no) <> (orig.at.d, orig.at.k)
 """

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 #: Columns that operators use inside; a table that has them must come through all the same.
-CLASH = ("key", "line", "lines", "n", "root", "a", "b", "bin", "tile", "score", "toxic", "lang", "item", "terms", "held", "r", "h", "size", "doc", "at", "orig", "t", "o", "u", "v", "count", "copy", "problem")
+CLASH = ("key", "line", "lines", "n", "root", "a", "b", "bin", "tile", "score", "toxic", "lang", "item", "terms", "held", "r", "h", "size", "doc", "at", "orig", "t", "o", "u", "v", "count", "copy", "problem", "__gone", "gone", "paperloom_gone", "paperloom_key", "Paperloom_Version", "version", "last", "place", "links", "class_id", "rep", "family", "weight")
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
 

@@ -13,13 +13,14 @@ def distance(a: bytes, b: bytes) -> int:
 
 
 def brute(rows):
-    """(doc_id, line_no) of each repeat -> the earliest line within TAU edits, and the distance."""
-    lines = sorted({(i, k, s) for i, t in rows if i is not None and t is not None for k, s in enumerate(x.strip("\t\n\x0b\x0c\r ").encode() for x in t.split("\n")) if len(s) >= D.MIN_BYTES})
+    """(doc_id, line_no) of each repeat -> the earliest line like it, and the distance; doc_ids are unique, but for equal rows."""
+    lines = sorted({(i, k, s) for i, t in rows if i is not None and t is not None for k, s in enumerate(x.strip("\t\n\x0b\x0c\r ").encode() for x in t.split("\n")) if s})
     firsts, near, out = {}, {}, {}
     for i, k, s in lines:
         firsts.setdefault(s, (i, k))
     for s in firsts:
-        near[s] = min((firsts[o], d) for o in firsts if abs(len(o) - len(s)) <= D.TAU and firsts[o] <= firsts[s] and (d := distance(o, s)) <= D.TAU)
+        others = [o for o in firsts if min(len(o), len(s)) >= D.MIN_NEAR and abs(len(o) - len(s)) <= D.TAU and firsts[o] <= firsts[s]]
+        near[s] = min([(firsts[s], 0), *((firsts[o], d) for o in others if (d := distance(o, s)) <= D.TAU)])
     for i, k, s in lines:
         if near[s][0] != (i, k):
             out[i, k] = near[s]
@@ -75,5 +76,23 @@ def test_clean(docs):
     assert out.filter("n_chars <> length(text)").count() == 0
 
 
+def test_rows_of_one_document_keep_their_own_lines(docs):
+    rows = [(0, "this line is repeated here\nfirst"), (1, "a unique line of its own\nfirst"), (1, "this line is repeated here"), (1, "this line is repeated hers\nanother one"), (None, "this line is repeated here")]
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in D.clean(docs(rows)).collect())
+    assert got == sorted([(False, 0, rows[0][1]), (False, 1, "a unique line of its own"), (False, 1, "another one"), (True, None, rows[4][1])], key=repr)
+
+
+def test_short_lines_are_compared_for_equality(docs, same):
+    rows = [(1, "ab\nabc\n\n\nab"), (2, "abc\nabd\n" + "x" * 19), (3, "x" * 18 + "y\n" + "x" * 20 + "\n" + "x" * 19)]
+    got = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"]) for r in D.repeats(docs(rows)).collect()}
+    assert got == {(1, 4): (1, 0), (2, 0): (1, 1), (3, 2): (2, 2)}
+    same(D.repeats(docs(rows)), D.SQL, documents=docs(rows))
+
+
+def test_ids_of_any_type(spark):
+    d = spark.createDataFrame([("d1", "this line is repeated here"), ("d2", "this line is repeated here\nnot this")], "doc_id string, text string")
+    assert sorted(map(tuple, D.clean(d).collect())) == [("d1", "this line is repeated here"), ("d2", "not this")]
+
+
 def test_empty(docs):
     assert D.repeats(docs([])).collect() == [] and D.clean(docs([])).collect() == []
