@@ -5,36 +5,65 @@ from paperloom.llm import packing as P
 
 
 def bfd(sizes):
-    bins, room = [], []
-    P.best_fit(bins, room, list(range(len(sizes))), sizes)
-    return len(bins)
+    return P.best_fit([], [], list(range(len(sizes))), sizes)
+
+
+def islands(size, epochs=P.EPOCHS):
+    """The operator's ring of islands, in this process."""
+    now, made = [[] for _ in range(P.ISLANDS)], 0
+    for e in range(epochs):
+        found = [P.evolve(size, [s.bins for s in now[i]] + [s.bins for s in now[i - 1][: P.ELITE]], hash((0, i, e))) for i in range(P.ISLANDS)]
+        now, made = [p for p, _ in found], made + sum(m for _, m in found)
+    return min((p[0] for p in now), key=lambda s: s.value), made, now
 
 
 def test_crossover_keeps_every_piece_once_and_injects_whole_bins():
     rng = random.Random(1)
     size = [rng.randint(1, 1500) for _ in range(200)]
-    one = ([], [])
-    P.best_fit(*one, list(range(200)), size)
+    one = bfd(size)
     two = P.mutate(one, size, rng)
     child = P.cross(one, two, size, rng)
-    for bins, room in (two, child):
-        assert sorted(p for b in bins for p in b) == list(range(200))
-        assert all(sum(size[p] for p in b) + r == P.CAPACITY and r >= 0 for b, r in zip(bins, room, strict=True))
-    assert any(b in one[0] for b in child[0])
+    for s in (two, child):
+        assert sorted(p for b in s.bins for p in b) == list(range(200))
+        assert all(sum(size[p] for p in b) + r == P.CAPACITY and r >= 0 for b, r in zip(s.bins, s.room, strict=True))
+    assert any(b in one.bins for b in child.bins)
 
 
 def test_best_fit_takes_the_tightest_bin():
-    bins, room = [[0], [1]], [100, 50]
-    P.best_fit(bins, room, [2], [1948, 1998, 40])
-    assert bins == [[0], [1, 2]] and room == [100, 10]
+    s = P.best_fit([(0,), (1,)], [100, 50], [2], [1948, 1998, 40])
+    assert s.bins == [(0,), (1, 2)] and s.room == [100, 10]
 
 
-def test_never_worse_than_best_fit_decreasing():
+def test_beats_best_fit_decreasing():
     rng = random.Random(3)
-    size = [rng.choice((700, 900, 500, 300, 1100)) for _ in range(150)]
-    got = P.evolve(size, [], 5)
-    assert len(got[0][0]) <= bfd(size) and len(got[0][0]) >= -(-sum(size) // P.CAPACITY)
-    assert P.evolve(size, [got[0][0]], 6)[0][1] is not None
+    size = sorted((rng.randint(410, 1020) for _ in range(300)), reverse=True)
+    best, made, populations = islands(size)
+    assert made > 300 and all(len(p) == P.POPULATION for p in populations)
+    assert -(-sum(size) // P.CAPACITY) <= len(best.bins) < len(bfd(size).bins)
+
+
+def test_search_goes_on_where_the_bound_is_reached():
+    rng = random.Random(4)
+    size = sorted((rng.choice((5, 40, 150, 400, 900, 1400)) + rng.randint(0, 60) for _ in range(400)), reverse=True)
+    first = bfd(size)
+    best, made, _ = islands(size, 2)
+    assert len(first.bins) == -(-sum(size) // P.CAPACITY) == len(best.bins) and made > 100 and P.fitness(best.room) > P.fitness(first.room)
+
+
+def test_populations_resume_from_their_best():
+    rng = random.Random(5)
+    size = [rng.randint(300, 1000) for _ in range(120)]
+    before, _ = P.evolve(size, [], 1)
+    after, _ = P.evolve(size, [s.bins for s in reversed(before)], 2)
+    assert after[0].value <= before[0].value and len(after) == P.POPULATION
+
+
+def test_the_operator_makes_crossovers(docs, spark):
+    rows = [(i, "w " * random.Random(i).randint(1, 1000)) for i in range(150)]
+    sizes = spark.createDataFrame([(0, sorted((len(t.split()) for _, t in rows), reverse=True))], "problem long, sizes array<int>")
+    got = P.search(sizes).collect()
+    assert len(got) == P.ISLANDS * P.POPULATION and all(r["crossovers"] > 20 for r in got)
+    assert {tuple(r["sizes"]) for r in got if r["sizes"]} == {tuple(sizes.first()["sizes"])}
 
 
 def test_pack_holds_all_pieces(docs):
@@ -54,7 +83,8 @@ def test_pack_holds_all_pieces(docs):
     assert all(v <= P.CAPACITY for v in bins.values()) and all(bins[r["problem"], r["bin"]] == r["bin_tokens"] for r in out)
     assert len({(r["doc_id"], r["copy"], r["piece"]) for r in out}) == len(out)
     loose = [r["tokens"] for r in out if r["problem"] >= 0]
-    assert len({k for k in bins if k[0] >= 0}) <= bfd(loose)
+    assert len({k for k in bins if k[0] >= 0}) <= len(bfd(loose).bins)
+    assert len({k for k in bins if k[0] < 0}) == sum(len(t.split()) // P.CAPACITY for i, t in rows if i is not None and t)
     again = P.pack(docs(rows).repartition(7))
     key = lambda rs: sorted((r["problem"], r["bin"], r["doc_id"], r["copy"], r["piece"]) for r in rs)
     assert key(out) == key(again.collect())
