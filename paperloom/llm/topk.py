@@ -3,15 +3,17 @@
 Every row of the queries is a query; documents are scored with BM25 over their words, in fixed point (1/SCALE), so sums are exact.
 Collection statistics (documents, average length, document frequencies of the query terms) are counted over all documents. Each
 task cuts its documents into shards of SHARD rows and keeps postings of the query terms only. For a query, a term's bound is its
-greatest score in the shard. Terms are sorted by bound; those whose bounds together stay under the k-th best score so far are
-non-essential: a document without an essential term can't win. Essential postings are traversed; candidates probe the other
-terms, greatest bound first, while their score plus the bounds that are left can still compete. A task's best k per query are
-merged with the others' in one small shuffle.
+greatest score in the shard. The k-th best score so far, or the k-th best impact of any one term where that is greater, is what a
+document must reach. Terms are sorted by bound; those whose bounds together stay under that are non-essential: a document without
+an essential term can't win, so their postings aren't traversed. Essential postings are, that of the greatest bound first, and
+the threshold rises after each, so fewer terms stay essential; candidates probe the other terms,
+greatest bound first, while their score plus the bounds that are left can still compete. The threshold rises from shard to shard.
+A task's best k per query are merged with the others' in one small shuffle. Queries are sent in blocks of about BLOCK.
 
 Cases. A query's repeated words count once. Queries and documents without words, or null, match nothing, and documents that
 share no word with a query aren't reported, so a query may have fewer than k rows. Equal scores rank by doc_id, nulls last.
-Repeated documents are ranked each by itself. Queries with a null item_id are left out; of queries that share an item_id, each is
-answered and the better score counts. An empty table gives no rows. Other columns are ignored.
+Repeated documents are ranked each by itself. Queries with a null item_id are left out; those that share
+an item_id are one query of all their words. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Shared, arrow_map, table
+from ._spark import Shared, arrow_map, cut, table
 from ._text import Table, U, chunks
 
 K, K1, B = 10, 1.2, 0.75
 SCALE = 1_000_000
 #: Documents of a shard, and queries of a pass over the documents.
-SHARD, BLOCK = 20_000, 20_000
+SHARD, BLOCK = 2_000, 20_000
 
 
 def _statistics(docs: DataFrame, terms: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -75,30 +77,46 @@ class _Shard:
         if len(full):
             self.bound[full] = np.maximum.reduceat(self.impact, self.at[full])
         self.score = np.zeros(n_docs, np.int64)
+        self.floors: dict[int, int] = {}
+        self.traversed = 0  # postings that searches went through, for tests
+
+    def floor(self, t: int, k: int) -> int:
+        """The k-th best impact of a term: k documents score at least this much."""
+        if t not in self.floors:
+            own = self.impact[self.at[t] : self.at[t + 1]]
+            self.floors[t] = int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else 0
+        return self.floors[t]
 
     def search(self, terms: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents that score at least `least`, a superset of this shard's part of the best k, with exact scores."""
         terms = terms[self.bound[terms] > 0]
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         terms = terms[np.argsort(self.bound[terms], kind="stable")]
+        least = max(least, *(self.floor(t, k) for t in terms.tolist() if self.bound[t] > least), 1)
         below = np.concatenate(([0], np.cumsum(self.bound[terms])))  # bounds of the terms before each
-        split = int(np.searchsorted(below[1:], least, "left"))  # the first `split` terms together stay under least
-        found = [self.doc[self.at[t] : self.at[t + 1]] for t in terms[split:]]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for t, d in zip(terms[split:], found, strict=True):
-            self.score[d] += self.impact[self.at[t] : self.at[t + 1]]
-        docs = np.unique(np.concatenate(found))
+        split = len(terms)  # the first `split` terms together may stay under least: they aren't traversed
+        while split and below[split] >= least:
+            split -= 1
+            own = slice(self.at[terms[split]], self.at[terms[split] + 1])
+            self.score[self.doc[own]] += self.impact[own]
+            self.traversed += own.stop - own.start
+            if len(self.score) >= k and split:
+                least = max(least, int(np.partition(self.score, len(self.score) - k)[len(self.score) - k]))
+        docs = np.flatnonzero(self.score)
         score = self.score[docs]
-        self.score[docs] = 0
+        self.score[:] = 0
         for j in range(split - 1, -1, -1):
             if len(score) > k:
                 least = max(least, int(np.partition(score, len(score) - k)[len(score) - k]))
             ok = score + below[j + 1] >= least
             docs, score = docs[ok], score[ok]
+            if not len(docs):
+                break
             own = slice(self.at[terms[j]], self.at[terms[j] + 1])
-            at = np.searchsorted(self.doc[own], docs)
-            hit = self.doc[own][np.minimum(at, own.stop - own.start - 1)] == docs
-            score = score + np.where(hit, self.impact[own][np.minimum(at, own.stop - own.start - 1)], 0)
+            at = np.minimum(np.searchsorted(self.doc[own], docs), own.stop - own.start - 1)
+            score = score + np.where(self.doc[own][at] == docs, self.impact[own][at], 0)
+            self.traversed += len(docs)
         ok = score >= least
         return docs[ok], score[ok]
 
@@ -112,22 +130,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             for c in chunks(b.column("text")):
                 _, _, h, bounds = c.words()
                 of = np.repeat(np.arange(c.n), np.diff(bounds))
-                yield pa.record_batch({"item": b.column("item").take(pa.array(of + c.first)), "row": (of + c.first).astype(np.int32), "term": h.view(np.int64)})
+                row = pa.array(of + c.first)
+                yield pa.record_batch({"item": b.column("item").take(row), "term": h.view(np.int64)})
 
-    rows = queries.select(F.col("item_id").cast("long").alias("item"), "text", F.xxhash64("text").alias("t")).filter("item_id is not null and text is not null")
-    words = arrow_map(rows.select("item", "text"), hashes, "item long, row int, term long").distinct()
-    sets = words.groupBy("item", "row").agg(F.sort_array(F.collect_set("term")).alias("terms")).select("item", "terms").distinct().orderBy("item", "terms").toArrow()
+    rows = queries.filter("item_id is not null and text is not null").select(F.col("item_id").alias("item"), "text")
+    named = rows.schema["item"].dataType.simpleString()
+    words = arrow_map(rows, hashes, f"item {named}, term long")
+    sets = cut(words.groupBy("item").agg(F.sort_array(F.collect_set("term")).alias("terms")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"item_id long, doc_id {kind}, score long"
+    schema = f"item_id {named}, doc_id {kind}, score long"
     out = spark.createDataFrame([], schema)
-    items = np.asarray(sets["item"])
-    lists = [np.asarray(x, np.int64).view(U) for x in sets["terms"].to_pylist()]
-    for lo in range(0, len(items), BLOCK):
-        own = lists[lo : lo + BLOCK]
+    blocks = -(-sets.count() // BLOCK)
+    for block in range(blocks):
+        got = sets.filter(F.pmod(F.xxhash64("item", "terms"), F.lit(blocks)) == block).orderBy("item", "terms").toArrow()
+        items = got["item"].combine_chunks()
+        own = [np.asarray(x, np.int64).view(U) for x in got["terms"].to_pylist()]
+        if not own:
+            continue
         terms = np.unique(np.concatenate(own))
         n, total, df = _statistics(docs, terms)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        value = (terms, idf, total / max(n, 1), items[lo : lo + BLOCK], [np.searchsorted(terms, x) for x in own])
+        value = (terms, idf, total / max(n, 1), items, [np.searchsorted(terms, x) for x in own])
         out = out.unionByName(_pass(docs, Shared(spark, value, lambda v: (Table(v[0]), *v[1:])), schema, k))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -173,7 +196,7 @@ def _pass(docs: DataFrame, shared: Shared, schema: str, k: int) -> DataFrame:
         flush()
         for q, had in enumerate(best):
             if had is not None:
-                yield pa.record_batch({"item_id": pa.array([items[q]] * len(had[0]), pa.int64()), "doc_id": had[1], "score": had[0]})
+                yield pa.record_batch({"item_id": items.take(pa.array([q] * len(had[0]))), "doc_id": had[1], "score": had[0]})
 
     return arrow_map(docs.select("doc_id", "text"), run, schema)
 
