@@ -1,40 +1,46 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have a Jaccard similarity of at least THRESHOLD.
-
-1. Documents with equal sets collapse to one representative, the least doc_id; copies are linked to it by a pair each.
-2. Representatives meet in buckets: BANDS keys of ROWS min-wise hashes of the set. Within a bucket they are sorted by set size,
-   and a set meets only those in its size band, up to |A| / THRESHOLD. A pair at similarity j shares a bucket with probability
-   1 - (1 - j ** ROWS) ** BANDS: 0.9998 at the threshold, more above it.
-3. Candidate pairs form tiles: (group of linked documents, size band, size band), cut further by hash where a group is large, so
-   a set travels to a few tiles, not to each of its pairs. In a tile each set has a hashed bitmap; an element of A without its
-   bit in B's bitmap is not in B, so popcounts bound the overlap from above. Pairs that can still reach the threshold are
-   decided exactly, by intersecting sorted arrays.
-
-Similarities are exact over 47-bit n-gram hashes; no pair under the threshold is reported, and recall is at least 0.9998 in
-expectation. Nothing is capped: groups of thousands of copies cost one row a copy.
-
-Cases. Null and empty texts, and texts without words, have no n-grams and match nothing. A text of fewer than N words has one
-n-gram, all its words. Rows with a null doc_id can't be named and take no part (group() keeps them). Repeated rows collapse.
-Where a doc_id has several texts, a pair has the greatest similarity of any of them. Other columns are ignored by join(), and
-kept by group().
+"""N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least THRESHOLD are linked.
+
+1. Documents with equal sets collapse to one representative, which counts as many documents as it stands for.
+2. Representatives form families: those that share one of BANDS keys of ROWS min-wise hashes take the least of them as leader, and
+   a leader's members of one size band (a power of 2) are a family. Families only save work: near copies meet as families, so
+   neither their common n-grams nor their pairs are listed one by one. They decide nothing.
+3. Prefix filter, exact: n-grams are ordered by the number of representatives that hold them (then by hash), counted over all of
+   them. Of two sets A and B at the threshold, the first |A| - ceil(THRESHOLD |A|) + 1 n-grams of A and as many of B have one in
+   common. N-grams that one representative holds can't be that one. So the families of each other n-gram within a prefix are
+   paired, if their size bands are compatible; so are the families of one leader. No pair of sets at the threshold is lost.
+4. Family pairs form tiles: (group of linked families, slot, slot), where a large group is cut into slots by hash, so a set travels
+   to a few tiles, not to each of its pairs. In a tile each set has a hashed bitmap; an element of A without its bit in B's
+   bitmap is not in B, so popcounts bound the overlap from above. Pairs that can still reach the threshold are decided exactly,
+   by intersecting sorted arrays. A tile hands on one row a set: the number of documents that it is linked to in the tile, and
+   the least set of its component there; the pairs themselves are written only where they are asked for.
+
+Similarities are exact over 47-bit n-gram hashes, and recall is complete. Nothing is capped.
+
+Counting and shuffling cells (n-gram, set) in Spark's rows would cost many times the text. They travel as binary blobs, a row a
+bucket and about FLUSH cells of a task: 4 bytes a cell, and the sets by run length.
+
+Cases. Null and empty texts, and texts without words, have no n-grams and are linked to nothing. A text of fewer than N words has
+one n-gram, all its words. Rows with a null doc_id can't be named and take no part (group() keeps them). Repeated rows collapse.
+A doc_id with several texts has the links of each of them: classes() gives the least class and the most links. Ids are of any
+type that can be ordered. Other columns are ignored by classes() and join(), and kept by group(), whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, components, cut, join_small, table
+from ._spark import arrow_map, components, cut, free_name, join_small, table
 from ._text import U, chunks, i64, mix, ngrams, sets
 
 N, THRESHOLD = 3, 0.5
-ROWS, BANDS = 3, 64
-#: Bits of a set's bitmap, and documents of a group that share a tile.
-BITMAP, TILE = 2048, 1024
-_BAND = math.log(1 / THRESHOLD)
+ROWS, BANDS = 4, 4
+#: Cells (n-gram, set) of a bucket on average, and cells after which a task sends what it has.
+CELLS, FLUSH = 1 << 21, 1 << 22
+#: Bits of a set's bitmap, and sets of a slot.
+BITMAP, TILE = 2048, 512
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -45,50 +51,189 @@ def _sets(c) -> tuple[np.ndarray, np.ndarray]:
     return sets(*ngrams(h, bounds, N), c.n)
 
 
+def _named(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that have n-grams, the first n-gram of each, and the 64-bit name of each one's set."""
+    full = np.flatnonzero(np.diff(bounds))
+    at = bounds[full]
+    if not len(full):
+        return full, at, np.zeros(0, U)
+    one, two = np.add.reduceat(mix(g), at), np.add.reduceat(mix(g ^ U(0x5DEECE66D)), at)
+    return full, at, mix(one ^ mix(two + np.diff(bounds)[full].astype(U)))
+
+
 def _signatures(batches):
-    """doc_id, two hashes of the set, its size, and its bucket keys."""
+    """doc_id, the name and size of its set, and the keys that make families."""
     for b in batches:
         ids = b.column("doc_id")
         for c in chunks(b.column("text")):
             g, bounds = _sets(c)
-            full = np.flatnonzero(np.diff(bounds))
+            full, at, rep = _named(g, bounds)
             if not len(full):
                 continue
-            at = bounds[full]
             low = (mix(g) >> U(32)).astype(np.uint32)
-            mins = np.empty((ROWS * BANDS, len(full)), np.uint32)
-            for k in range(ROWS * BANDS):
-                v = low * _MUL[k]
-                v += _ADD[k]
-                v ^= v >> np.uint32(15)
-                mins[k] = np.minimum.reduceat(v, at)
             keys = np.empty((len(full), BANDS), U)
             for band in range(BANDS):
                 h = np.full(len(full), band, U)
-                for r in range(ROWS):
-                    h = mix(h * U(0x9E3779B97F4A7C15) + mins[band * ROWS + r].astype(U))
+                for k in range(band * ROWS, (band + 1) * ROWS):
+                    v = low * _MUL[k]
+                    v += _ADD[k]
+                    v ^= v >> np.uint32(15)
+                    h = mix(h * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, at).astype(U))
                 keys[:, band] = h
-            yield pa.record_batch({
-                "doc_id": ids.take(pa.array(full + c.first)), "s1": i64(np.add.reduceat(mix(g), at)), "s2": i64(np.add.reduceat(mix(g ^ U(0x5DEECE66D)), at)),
-                "size": np.diff(bounds)[full].astype(np.int32), "keys": pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, i64(keys.ravel())),
-            })
+            yield pa.record_batch({"doc_id": ids.take(pa.array(full + c.first)), "rep": i64(rep), "size": np.diff(bounds)[full].astype(np.int32), "keys": pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, i64(keys.ravel()))})
+
 
+# ---- cells in blobs -------------------------------------------------------------------------------------------------------
 
-def _bucket_pairs(batches):
-    """Pairs of a size-compatible pair of documents in each bucket; the partition holds its buckets whole."""
-    parts = [(np.asarray(b.column("key")), np.asarray(b.column("size")), np.asarray(b.column("doc"))) for b in batches]
+_BLOB = "bucket int, reps binary, sizes binary, counts binary, grams binary, ranks binary"
+
+
+def _blobs(bucket: np.ndarray, owner: np.ndarray, rep: np.ndarray, size: np.ndarray, gram: np.ndarray, rank: np.ndarray | None):
+    """A row a bucket; cells come in the order of (bucket, owner), owner being an index into rep and size."""
+    if not len(bucket):
+        return
+    runs = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
+    counts, of = np.diff(np.append(runs, len(bucket))).astype(np.uint32), owner[runs]
+    reps, sizes = rep[of], size[of].astype(np.uint32)
+    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends, first, last = np.append(heads[1:], len(bucket)), np.searchsorted(runs, heads), np.searchsorted(runs, np.append(heads[1:], len(bucket)))
+    for k in range(0, len(heads), 256):
+        span = range(k, min(k + 256, len(heads)))
+        binary = lambda a, lo, hi: pa.array([a[lo[i] : hi[i]].tobytes() for i in span], pa.binary())  # noqa: B023, E731
+        yield pa.record_batch({
+            "bucket": bucket[heads[k : k + 256]].astype(np.int32), "reps": binary(reps, first, last), "sizes": binary(sizes, first, last), "counts": binary(counts, first, last),
+            "grams": binary(gram, heads, ends), "ranks": binary(rank, heads, ends) if rank is not None else pa.nulls(len(span), pa.binary()),
+        })
+
+
+def _by_bucket(batches):
+    """(bucket, rows of its columns as lists) of each bucket of a partition that is sorted by bucket."""
+    now, held = None, []
+    for b in batches:
+        bucket = np.asarray(b.column("bucket"))
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and bucket[lo] != now:
+                yield now, held
+                held = []
+            now = bucket[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield now, held
+
+
+def _joined(held: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
+    parts = [np.frombuffer(x, kind) for b in held for x in b.column(name).to_pylist() if x]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _cells(buckets: int):
+    """Texts -> blobs of the cells of their sets, by bucket of the n-gram."""
+
+    def flush(held):
+        g, of, rep, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.repeat(np.arange(len(rep)), size)
+        once = np.zeros(len(rep), bool)
+        once[np.unique(rep, return_index=True)[1]] = True
+        g, at = g[once[at]], at[once[at]]
+        h = mix(g)
+        bucket = ((h >> U(32)) * U(buckets)) >> U(32)
+        order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+        yield from _blobs(bucket[order], at[order], rep, size, h[order].astype(np.uint32), None)
+
+    def run(batches):
+        held, total = [], 0
+        for b in batches:
+            for c in chunks(b.column("text")):
+                g, bounds = _sets(c)
+                full, _, rep = _named(g, bounds)
+                held.append((g, full, rep, np.diff(bounds)[full]))
+                total += len(g)
+                if total >= FLUSH:
+                    yield from flush(held)
+                    held, total = [], 0
+        if total:
+            yield from flush(held)
+
+    return run
+
+
+def _shared(slots: int):
+    """Blobs by n-gram -> blobs by set, of the n-grams that several sets hold, with their rank (a coarse logarithm of how many)."""
+
+    def flush(out):
+        rep, size, gram, rank = (np.concatenate(x) for x in zip(*out, strict=True))
+        names, owner = np.unique(rep, return_inverse=True)
+        sizes = np.zeros(len(names), np.uint32)
+        sizes[owner] = size
+        slot = i64(names) % slots
+        order = np.lexsort((owner, slot[owner]))
+        yield from _blobs(slot[owner[order]], owner[order], names, sizes, gram[order], rank[order])
+
+    def run(batches):
+        out, total = [], 0
+        for bucket, held in _by_bucket(batches):
+            rep, size = _joined(held, "reps", U), _joined(held, "sizes", np.uint32)
+            names, own = np.unique(rep, return_inverse=True)
+            sizes = np.zeros(len(names), np.uint32)
+            sizes[own] = size
+            cell = (_joined(held, "grams", np.uint32).astype(U) << U(32)) | np.repeat(own, _joined(held, "counts", np.uint32)).astype(U)
+            cell.sort()
+            cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))]
+            gram = cell >> U(32)
+            heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            n = np.diff(np.append(heads, len(gram)))
+            several = np.repeat(n > 1, n)
+            rank = np.minimum(255, 8 * np.log2(n[n > 1])).astype(np.uint8)
+            own = (cell[several] & U(0xFFFFFFFF)).astype(np.int64)
+            out.append((names[own], sizes[own], (U(bucket) << U(32)) | gram[several], np.repeat(rank, n[n > 1])))
+            total += len(own)
+            if total >= FLUSH:
+                yield from flush(out)
+                out, total = [], 0
+        if total:
+            yield from flush(out)
+
+    return run
+
+
+def _prefixes(batches):
+    """Blobs by set, and rows (rep, family) of the sets -> (gram, family) of the n-grams within prefixes."""
+    for _, held in _by_bucket(batches):
+        named = [b.filter(b.column("family").is_valid()) for b in held]
+        rep, family = (np.concatenate([np.asarray(b.column(c)) for b in named]) for c in ("rep", "family"))
+        order = np.argsort(rep)
+        rep, family = rep[order], family[order]
+        count = _joined(held, "counts", np.uint32)
+        if not len(count):
+            continue
+        own = np.searchsorted(rep, _joined(held, "reps", np.int64))
+        size = np.zeros(len(rep), np.int64)
+        size[own] = _joined(held, "sizes", np.uint32)
+        own = np.repeat(own, count)
+        gram, rank = _joined(held, "grams", U), _joined(held, "ranks", np.uint8)
+        order = np.lexsort((gram, rank, own))
+        own, gram = own[order], gram[order]
+        n = np.bincount(own, minlength=len(rep))
+        place = np.arange(len(own)) - (np.cumsum(n) - n)[own] + (size - n)[own]  # n-grams of one set come first
+        ok = place < size[own] - np.ceil(THRESHOLD * size[own] - 1e-9) + 1
+        gram, family_ = gram[ok], family[own[ok]]
+        order = np.lexsort((family_, gram))
+        gram, family_ = gram[order], family_[order]
+        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (family_[1:] != family_[:-1])))[: len(gram)]
+        yield pa.record_batch({"gram": i64(gram[new]), "family": family_[new]})
+
+
+def _family_pairs(batches):
+    """(a, b), a < b, of the families of compatible size bands (the low 6 bits) that share an n-gram; the partition holds its n-grams whole."""
+    parts = [(np.asarray(b.column("gram")), np.asarray(b.column("family"))) for b in batches]
     if not parts:
         return
-    key, size, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((size, key))
-    key, size, doc = key[order], size[order].astype(np.int64), doc[order]
-    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    ends = np.repeat(np.append(heads[1:], len(key)), np.diff(np.append(heads, len(key))))
-    # the last of the bucket whose size is at most size / THRESHOLD, by one search over (bucket, size)
-    rank = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
-    line = rank.astype(np.int64) << 32 | size
-    last = np.minimum(ends, np.searchsorted(line, rank.astype(np.int64) << 32 | np.floor(size / THRESHOLD + 1e-9).astype(np.int64), "right"))
-    n = last - np.arange(len(key)) - 1
+    gram, family = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((family, gram))
+    gram, family = gram[order], family[order]
+    heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    n = np.repeat(np.append(heads[1:], len(gram)), np.diff(np.append(heads, len(gram)))) - np.arange(len(gram)) - 1
     total, lo = np.cumsum(n), 0
     while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 20), "right")))
@@ -96,33 +241,17 @@ def _bucket_pairs(batches):
         if m.sum():
             x = np.repeat(np.arange(lo, hi), m)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-            a, b = np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
-            swap, band = doc[x] > doc[y], (np.log(size) / _BAND).astype(np.int8)
-            ok = a < b
-            ab, bb = np.where(swap, band[y], band[x])[ok], np.where(swap, band[x], band[y])[ok]
-            order = np.lexsort((b[ok], a[ok]))
-            a, b, ab, bb = a[ok][order], b[ok][order], ab[order], bb[order]
+            a, b = family[x], family[y]
+            ok = (np.abs((a & 63) - (b & 63)) <= 1) & (a != b)
+            a, b = a[ok], b[ok]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-            yield pa.record_batch({"a": a[new], "b": b[new], "a_band": ab[new], "b_band": bb[new]})
+            yield pa.record_batch({"a": a[new], "b": b[new]})
         lo = hi
 
 
-def _partners(batches):
-    """(a, a_band, b_band, bs): the distinct partners of each document, by band; the partition holds a document's pairs whole."""
-    parts = [tuple(np.asarray(b.column(c)) for c in ("a", "b", "a_band", "b_band")) for b in batches]
-    if not parts:
-        return
-    a, b, ab, bb = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((b, bb, ab, a))
-    a, b, ab, bb = a[order], b[order], ab[order], bb[order]
-    head = np.concatenate(([True], (a[1:] != a[:-1]) | (ab[1:] != ab[:-1]) | (bb[1:] != bb[:-1])))[: len(a)]
-    new = head | np.concatenate(([True], b[1:] != b[:-1]))[: len(a)]
-    a, b, ab, bb, head = a[new], b[new], ab[new], bb[new], head[new]
-    at = np.flatnonzero(head)
-    for k in range(0, len(at), 4096):
-        own = at[k : k + 4096]
-        stop = at[k + 4096] if k + 4096 < len(at) else len(a)
-        yield pa.record_batch({"a": a[own], "a_band": ab[own], "b_band": bb[own], "bs": pa.ListArray.from_arrays((np.append(own, stop) - own[0]).astype(np.int32), b[own[0] : stop])})
+# ---- tiles ----------------------------------------------------------------------------------------------------------------
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -131,119 +260,232 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(U)
 
 
-def _decide(a: list, others: list) -> np.ndarray:
-    """Overlap of set a with each of the others, -1 where the bitmaps rule the threshold out."""
-    s, bits, n = a
-    sizes = np.array([o[2] for o in others])
-    need = np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + sizes) - 1e-9)
-    theirs = np.stack([o[1] for o in others])
+class _Family:
+    """A tile's sets of one family: name, documents, slot, sorted n-grams, bitmap and size of each."""
+
+    def __init__(self, rows: list):
+        self.rep, self.weight, self.slot = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.sets, self.bits = [r[3] for r in rows], np.stack([_bitmap(r[3]) for r in rows])
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+
+
+def _alike(s: np.ndarray, bits: np.ndarray, others: _Family, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `some` of the others are as similar to set s as THRESHOLD asks, and how similar."""
+    n, sizes = len(s), others.sizes[some]
+    some = some[(sizes >= THRESHOLD * n - 1e-9) & (n >= THRESHOLD * sizes - 1e-9)]
+    theirs, sizes = others.bits[some], others.sizes[some]
     bound = np.minimum(n - np.bitwise_count(bits & ~theirs).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(theirs & ~bits).sum(axis=1, dtype=np.int64))
-    out = np.full(len(others), -1, np.int64)
-    ok = np.flatnonzero(bound >= need)
-    if len(ok):
-        joined = np.concatenate([others[k][0] for k in ok])
-        at = np.searchsorted(s, joined)
-        hit = s[np.minimum(at, n - 1)] == joined
-        out[ok] = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[ok])[:-1])), dtype=np.int64)
-    return out
-
-
-def _verify(batches):
-    """Rows sorted by tile: first its texts (bs null), then its documents with their partners."""
-    tile, held, pairs = None, {}, {}
-
-    def flush():
-        for a, partners in pairs.items():
-            for mine in held.get(a, ()):
-                others = [(b, s) for b in partners for s in held.get(b, ())]
-                for k in range(0, len(others), 512):
-                    part = others[k : k + 512]
-                    n = _decide(mine, [s for _, s in part])
-                    sizes = np.array([s[2] for _, s in part])
-                    j = n / (mine[2] + sizes - n)
-                    ok = np.flatnonzero((n >= 0) & (j >= THRESHOLD))
-                    if len(ok):
-                        yield pa.record_batch({"a": np.full(len(ok), a), "b": np.array([part[i][0] for i in ok]), "jaccard": j[ok]})
-
-    for batch in batches:
-        t, a, bs = np.asarray(batch.column("tile")), np.asarray(batch.column("a")), batch.column("bs")
-        is_text = np.asarray(bs.is_null())
-        got = {}
-        rows = np.flatnonzero(is_text)
-        for c in chunks(batch.column("text").filter(pa.array(is_text))) if len(rows) else ():
-            g, bounds = _sets(c)
-            for k in range(c.n):
-                s = g[bounds[k] : bounds[k + 1]]
-                got[rows[c.first + k]] = (s.copy(), _bitmap(s), len(s))
-        for i in range(len(t)):
-            if t[i] != tile:
-                yield from flush()
-                tile, held, pairs = t[i], {}, {}
-            if is_text[i]:
-                own = held.setdefault(int(a[i]), [])
-                if got[i][2] and not any(np.array_equal(got[i][0], o[0]) for o in own):
-                    own.append(got[i])
-            else:
-                pairs.setdefault(int(a[i]), []).extend(bs[i].as_py())
-    yield from flush()
+    ok = bound >= np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + sizes) - 1e-9)
+    some, sizes = some[ok], sizes[ok]
+    if not len(some):
+        return some, np.zeros(0)
+    joined = np.concatenate([others.sets[k] for k in some])
+    hit = s[np.minimum(np.searchsorted(s, joined), n - 1)] == joined
+    both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+    j = both / (n + sizes - both)
+    return some[j >= THRESHOLD], j[j >= THRESHOLD]
+
+
+def _links(families: dict[int, _Family], pairs: list, cross: bool):
+    """(set, set, similarity) arrays of the linked pairs of a tile; across its two slots only where cross."""
+    for a, b in pairs:
+        one, two = families.get(a), families.get(b)
+        if one is None or two is None:
+            continue
+        for i in range(len(one.rep)):
+            some = np.arange(i + 1 if a == b else 0, len(two.rep))
+            if cross:
+                some = some[two.slot[some] != one.slot[i]]
+            for k in range(0, len(some), 512):
+                at, j = _alike(one.sets[i], one.bits[i], two, some[k : k + 512])
+                if len(at):
+                    yield (a, i), (b, at), j
+
+
+def _verify(listed: bool):
+    """Rows sorted by tile: first its texts (bs null), then its family pairs. listed: give the pairs, not counts and components."""
+
+    def flush(held, pairs, cross):
+        families = {f: _Family(rows) for f, rows in held.items()}
+        links = {f: np.zeros(len(x.rep), np.int64) for f, x in families.items()}
+        start = dict(zip(families, np.cumsum([0, *(len(x.rep) for x in families.values())])[:-1].tolist(), strict=True)) if families else {}
+        up = np.arange(sum(len(x.rep) for x in families.values()))
+
+        def top(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for (a, i), (b, at), j in _links(families, pairs, cross):
+            if listed:
+                yield pa.record_batch({"a": np.full(len(at), families[a].rep[i]), "b": families[b].rep[at], "jaccard": j})
+                continue
+            links[a][i] += families[b].weight[at].sum()
+            links[b][at] += families[a].weight[i]
+            root = top(start[a] + i)
+            for k in np.unique(up[start[b] + at]).tolist():
+                other = top(k)
+                root, other = min(root, other), max(root, other)
+                up[other] = root
+        if not listed and len(up):
+            rep, n = np.concatenate([x.rep for x in families.values()]), np.concatenate(list(links.values()))
+            some = np.flatnonzero(n)
+            yield pa.record_batch({"rep": rep[some], "links": n[some], "root": rep[[top(k) for k in some.tolist()]] if len(some) else rep[:0]})
+
+    def run(batches):
+        tile, held, pairs, cross = None, {}, [], False
+        for batch in batches:
+            col = {c: np.asarray(batch.column(c).fill_null(0)) for c in ("tile", "rep", "family", "weight", "slot")}
+            cross_ = batch.column("cross")
+            bs = batch.column("bs")
+            is_text = np.asarray(bs.is_null())
+            got = {}
+            rows = np.flatnonzero(is_text)
+            for c in chunks(batch.column("text").filter(pa.array(is_text))) if len(rows) else ():
+                g, bounds = _sets(c)
+                full, _, name = _named(g, bounds)
+                for k, own in zip(full.tolist(), i64(name).tolist(), strict=True):
+                    got[rows[c.first + k]] = (own, g[bounds[k] : bounds[k + 1]].copy())
+            for i in range(len(is_text)):
+                if col["tile"][i] != tile:
+                    if pairs:
+                        yield from flush(held, pairs, cross)
+                    tile, held, pairs = col["tile"][i], {}, []
+                if not is_text[i]:
+                    a = int(col["family"][i])
+                    pairs += [(a, b) for b in bs[i].as_py()]
+                    cross = cross_[i].as_py()
+                elif i in got and got[i][0] == col["rep"][i]:  # a doc_id may have other texts, too
+                    rows_ = held.setdefault(int(col["family"][i]), [])
+                    if not any(r[0] == col["rep"][i] for r in rows_[-1:]):
+                        rows_.append((col["rep"][i], col["weight"][i], col["slot"][i], got[i][1]))
+        if pairs:
+            yield from flush(held, pairs, cross)
+
+    return run
+
+
+# ---- the join -------------------------------------------------------------------------------------------------------------
+
+
+def _representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts (doc_id, text); members (doc_id, rep) of the documents that have words; reps (rep, doc, weight, size, family)."""
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = cut(arrow_map(texts, _signatures, f"doc_id {kind}, rep long, size int, keys array<long>"))
+    members = signed.select("doc_id", "rep").distinct()
+    reps = cut(members.groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight")).join(signed.groupBy("rep").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "rep"))
+    by_key = reps.select("rep", F.explode("keys").alias("key"))
+    lead = cut(by_key.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").select("key", "lead"))
+    led = join_small(by_key, lead, "key", "inner", 24).groupBy("rep").agg(F.min("lead").alias("lead"))
+    band = F.length(F.bin("size")).cast("long")  # exact, unlike a logarithm
+    family = F.xxhash64(F.coalesce("lead", "rep")).bitwiseAND(-64).bitwiseOR(band)
+    return texts, members, cut(reps.drop("keys").join(led, "rep", "left").select("rep", "doc", "weight", "size", family.alias("family")))
+
+
+def _candidates(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b), a <= b: the pairs of families that can hold linked sets."""
+    size = reps.agg(F.sum("size").alias("cells"), F.count("*").alias("n")).first()
+    buckets = max(1, -(-(size["cells"] or 0) // CELLS))
+    cells = arrow_map(texts.select("text"), _cells(buckets), _BLOB).repartition("bucket").sortWithinPartitions("bucket")
+    shared = arrow_map(cells, _shared(buckets), _BLOB)
+    sets_ = reps.select(F.pmod("rep", F.lit(buckets)).cast("int").alias("bucket"), "rep", "family")
+    both = shared.unionByName(sets_, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    prefixes = arrow_map(both, _prefixes, "gram long, family long")
+    met = arrow_map(prefixes.repartition("gram"), _family_pairs, "a long, b long")
+    # families of one leader: each with itself, if it has several sets, and with that of the next size band
+    wide = reps.groupBy("family").agg(F.count("*").alias("n"))
+    own = wide.filter("n > 1").select(F.col("family").alias("a"), F.col("family").alias("b"))
+    name, level = F.col("family").bitwiseAND(-64), F.col("family").bitwiseAND(63)
+    here, above = wide.select(name.alias("name"), level.alias("level"), F.col("family").alias("a")), wide.select(name.alias("name"), (level - 1).alias("level"), F.col("family").alias("b"))
+    return cut(met.unionByName(own).unionByName(here.join(above, ["name", "level"]).select("a", "b")).distinct())
+
+
+def _tiles(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows that _verify reads."""
+    # a group is named by the least family that its members are paired with
+    root = pairs.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("a"), "root")
+    rooted = cut(pairs.join(root, "a", "left").select(F.coalesce("root", "a").alias("root"), "a", "b"))
+    member = rooted.select("root", F.explode(F.array("a", "b")).alias("family")).distinct()
+    held = cut(member.join(reps.select("family", "rep", "doc", "weight"), "family"))
+    wide = cut(held.groupBy("root").count().filter(F.col("count") > TILE).select("root", F.ceil(F.col("count") / TILE).cast("int").alias("wide")))
+    slots = lambda df: join_small(df, wide, "root", "left", 16).withColumn("wide", F.coalesce("wide", F.lit(1)))
+    tile = lambda i, j: F.xxhash64("root", F.least(i, j), F.greatest(i, j))
+    each = F.sequence(F.lit(0), F.col("wide") - 1)
+    lists = slots(rooted.groupBy("root", "a").agg(F.collect_list("b").alias("bs"))).withColumn("i", F.explode(each)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("wide") - 1)))
+    lists = lists.select(tile(F.col("i"), F.col("j")).alias("tile"), F.col("a").alias("family"), (F.col("i") != F.col("j")).alias("cross"), "bs")
+    sent = slots(held).withColumn("slot", F.pmod(F.xxhash64("rep"), "wide").cast("int")).withColumn("tiles", F.transform(each, lambda j: tile(F.col("slot"), j)))
+    needs = sent.groupBy("doc").agg(F.collect_list(F.struct("rep", "family", "weight", "slot", "tiles")).alias("needs"))
+    rows = join_small(texts, cut(needs.withColumnRenamed("doc", "doc_id")), "doc_id", "inner", 200).select(F.explode("needs").alias("x"), "text")
+    rows = rows.select(F.explode("x.tiles").alias("tile"), "x.rep", "x.family", "x.weight", "x.slot", F.lit(False).alias("cross"), F.lit(None).cast("array<long>").alias("bs"), "text")
+    return rows.unionByName(lists, allowMissingColumns=True).repartition("tile").sortWithinPartitions("tile", F.col("bs").isNotNull(), "family", "rep")
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id, links) of the documents that are linked, by text; and the texts' documents."""
+    texts, members, reps = _representatives(docs)
+    tiles = _tiles(texts, reps, _candidates(texts, reps))
+    near = cut(arrow_map(tiles, _verify(False), "rep long, links long, root long"))
+    comp = cut(components(near.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+    root = F.coalesce("root", "rep").alias("root")
+    links = near.groupBy("rep").agg(F.sum("links").alias("links"))
+    some = cut(reps.select("rep", "doc", "weight").join(links, "rep", "left").filter("weight > 1 or links is not null").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", root, "doc", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    first = some.groupBy("root").agg(F.min("doc").alias("class_id"))
+    named = cut(some.join(first, "root").select("rep", "class_id", "links"))
+    out = join_small(members, named, "rep", "inner", 48)
+    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links")), texts
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, links: a row a document. The class is the least doc_id of those that links connect it with, itself where
+    there are none; links is the number of documents, copies too, that are as similar to it as THRESHOLD asks."""
+    linked, _ = _linked(docs)
+    every = docs.select("doc_id").filter("doc_id is not null").distinct()
+    return every.join(linked, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id_a < doc_id_b, jaccard: each copy with the first document of its set, and each similar pair of these first documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    signed = cut(arrow_map(texts, _signatures, "doc_id long, s1 long, s2 long, size int, keys array<long>"))
-    reps = cut(signed.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("keys").alias("keys")))
-    copies = signed.select("s1", "s2", "size", "doc_id").join(reps.filter("n > 1").select("s1", "s2", "size", "doc"), ["s1", "s2", "size"]).filter("doc_id > doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-
-    postings = reps.select("size", "doc", F.explode("keys").alias("key")).repartition("key")
-    met = arrow_map(postings, _bucket_pairs, "a long, b long, a_band byte, b_band byte").repartition("a")
-    pairs = cut(arrow_map(met, _partners, "a long, a_band byte, b_band byte, bs array<long>"))
-
-    # a group is named by the least document that its members are paired with
-    root = pairs.select("a", F.explode("bs").alias("b")).groupBy("b").agg(F.min("a").alias("root"))
-    pairs = pairs.join(root.select(F.col("b").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    member = pairs.select("root", F.explode(F.concat(F.array("a"), "bs")).alias("doc")).distinct()
-    wide = cut(member.groupBy("root").count().filter(F.col("count") > TILE).select("root", F.ceil(F.col("count") / TILE).alias("wide")))
-    pairs = join_small(pairs, wide, "root", "left", 16)
-    slot = lambda c: F.when(F.col("wide").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), "wide"))
-    by_slot = pairs.withColumn("b_slots", F.array_distinct(F.transform("bs", slot))).withColumn("b_slot", F.explode("b_slots"))
-    own = F.when(F.col("wide").isNull(), F.col("bs")).otherwise(F.filter("bs", lambda b: slot(b) == F.col("b_slot")))
-    pairs = cut(by_slot.select(F.xxhash64("root", "a_band", "b_band", slot("a"), "b_slot").alias("tile"), "a", own.alias("bs")))
-    needs = pairs.select("tile", F.explode(F.concat(F.array("a"), "bs")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
-    sent = join_small(texts, cut(needs), "doc_id", "inner", 64).select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("a"), F.lit(None).cast("array<long>").alias("bs"), "text")
-    rows = sent.unionByName(pairs.select("tile", "a", "bs", F.lit(None).cast("string").alias("text"))).repartition("tile").sortWithinPartitions("tile", F.col("bs").isNotNull())
-    near = arrow_map(rows, _verify, "a long, b long, jaccard double")
-    out = near.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
+    """doc_id_a, doc_id_b, jaccard: the linked pairs of different sets, each set named by its least doc_id; and each other document
+    of a set with that one, at 1.0. Pairs of the other copies follow by expanding each name."""
+    texts, members, reps = _representatives(docs)
+    near = arrow_map(_tiles(texts, reps, _candidates(texts, reps)), _verify(True), "a long, b long, jaccard double")
+    name = lambda c: reps.select(F.col("rep").alias(c), F.col("doc").alias(f"doc_{c}"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"), "jaccard").filter("doc_id_a < doc_id_b")
+    copies = members.join(reps.filter("weight > 1").select("rep", "doc"), "rep").filter("doc_id > doc").select(F.col("doc").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group of documents that similar pairs connect: the one of the least doc_id.
+    """docs, all columns, with one document of each class: the one of the least doc_id.
 
     Rows of one doc_id stay or go together, but for repeats: of rows with the same doc_id and text one stays.
     """
-    pairs = cut(join(docs))
-    gone = cut(components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).filter("node <> root").select(F.col("node").alias("__gone")))
-    twice = cut(docs.select(F.col("doc_id").cast("long").alias("__gone")).dropna().groupBy("__gone").count().filter("count > 1").select("__gone"))
-    rows = docs.withColumn("__gone", F.col("doc_id").cast("long"))
-    kept = join_small(rows, gone, "__gone", "left_anti", 16)
-    once = join_small(kept, twice, "__gone", "left_anti", 16)
-    again = join_small(kept, twice, "__gone", "left_semi", 16).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(*docs.columns)
+    key = free_name(docs, "paperloom_gone")
+    gone = cut(_linked(docs)[0].filter("class_id <> doc_id").select(F.col("doc_id").alias(key)))
+    twice = cut(docs.select(F.col("doc_id").alias(key)).dropna().groupBy(key).count().filter("count > 1").select(key))
+    named = docs.filter("doc_id is not null").withColumn(key, F.col("doc_id"))
+    kept = join_small(named, gone, key, "left_anti", 16)
+    once = join_small(kept, twice, key, "left_anti", 16)
+    again = join_small(kept, twice, key, "left_semi", 16).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 SQL = f"""
-WITH words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
-grams AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {N} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + {N - 1}], ' ') END AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {N - 2}, 2))) AS i FROM words WHERE len(ws) > 0)),
-whole AS (SELECT doc_id, list_sort(list(g)) AS gs, count(*) AS n FROM grams GROUP BY doc_id),
-reps AS (SELECT gs, n, min(doc_id) AS doc FROM whole GROUP BY gs, n),
-one AS (SELECT doc, n, unnest(gs) AS g FROM reps),
-near AS (SELECT x.doc AS a, y.doc AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM one x JOIN one y ON x.g = y.g AND x.doc < y.doc GROUP BY x.doc, y.doc)
-SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM near WHERE jaccard >= {THRESHOLD}
-UNION ALL SELECT doc, doc_id, 1.0::DOUBLE FROM whole JOIN reps USING (gs, n) WHERE doc_id > doc
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '') AS ws FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+texts AS (SELECT doc_id, ws FROM words WHERE len(ws) > 0),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')] ELSE list_transform(list_zip({", ".join(f"ws[{k + 1}:]" for k in range(N))}, true), lambda x: concat_ws(' ', {", ".join(f"x[{k + 1}]" for k in range(N))})) END)) AS gs FROM texts),
+whole AS (SELECT DISTINCT doc_id, gs FROM sets),
+unit AS (SELECT row_number() OVER () AS u, doc_id, gs, len(gs) AS n FROM whole),
+one AS (SELECT u, n, unnest(gs) AS g FROM unit),
+link AS (SELECT x.u AS a, y.u AS b FROM one x JOIN one y ON x.g = y.g AND x.u <> y.u GROUP BY x.u, y.u HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= {THRESHOLD}),
+reach AS (SELECT u AS a, u AS b FROM unit UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+class AS (SELECT a AS u, min(doc_id) AS class_id FROM reach JOIN unit ON b = u GROUP BY a),
+links AS (SELECT a AS u, count(*) AS n FROM link GROUP BY a),
+found AS (SELECT doc_id, min(class_id) AS class_id, max(coalesce(links.n, 0)) AS links FROM unit JOIN class USING (u) LEFT JOIN links USING (u) GROUP BY doc_id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN found USING (doc_id)
 """
