@@ -44,7 +44,8 @@ def by_hand(rows, held):
     """The models by the book, with dictionaries: scores of texts as the difference of two log-likelihoods."""
     train = [(WORD.findall(t.lower()), y) for i, t, y in rows if i not in held]
     n = Counter(w for ws, _ in train for w in ws)
-    known = {w for w in n if n[w] >= X.MIN_COUNT}
+    words = [sum(len(ws) for ws, y in train if y == c) for c in (1, 0)]
+    known = {w for w in n if 2 * n[w] * math.log(sum(words) / min(words)) >= X.SIGNIFICANCE and n[w] > 1}
     ids = lambda ws: [w if w in known else "" for w in ws]
     pairs = defaultdict(lambda: [0, 0])
     for ws, y in train:
@@ -58,14 +59,19 @@ def by_hand(rows, held):
         seen[c].update(v for (_, v), p in pairs.items() if p[c])
     size = len(known) + 2
     base = {v: (shared[v] + 1) / (sum(shared.values()) + size) for v in [*known, "", "<s>"]}
-    differs = lambda t, o, p: bool(X._differs(np.array([float(t)]), np.array([float(o)]), p)[0])
+
+    def differs(t, o, p):
+        gain = sum(n_ * math.log(n_ / ((t + o) * q)) for n_, q in ((t, p), (o, 1 - p)) if n_)
+        ratio = (t + 0.5) / (o + 0.5) * (1 - p) / p
+        return 2 * gain >= X.SIGNIFICANCE and not 1 / X.RATIO < ratio < X.RATIO
+
     sums = [sum(s.values()) for s in seen]
     own = {v for v in known if differs(seen[0][v], seen[1][v], sums[0] / sum(sums))}
     word = [{v: (max(seen[c][v] - d[c], 0) + d[c] * len(seen[c]) * base[v]) / sums[c] if v in own else base[v] for v in base} for c in (0, 1)]
     kept = {}
     for (u, v), (t, o) in pairs.items():
         odds = word[0][v] / word[1][v] * total[0] / total[1]
-        if t + o >= X.LEAST and differs(t, o, odds / (1 + odds)):
+        if differs(t, o, odds / (1 + odds)):
             kept[u, v] = (t, o)
     context = {u: [sum(p[c] for (a, _), p in pairs.items() if a == u) for c in (0, 1)] for u, _ in kept}
     back = {}
@@ -94,7 +100,7 @@ def test_scores_match_the_models_by_hand(spark, docs):
     score = by_hand(rows, held)
     model = X.fit(d, labels)
     got = {r["doc_id"]: r["s"] for r in d.select("doc_id", X.scorer(spark, model)("text").alias("s")).collect()}
-    assert len(model.pairs) and len(model.word) > 250
+    assert len(model.pairs) and len(model.word) > 150
     for i, t, _ in rows:
         assert abs(got[i] - score(t)) < 1.5 / X.SCALE
 
@@ -143,3 +149,12 @@ def test_few_toxic_documents_have_a_threshold(spark, docs):
     toxic = {r["doc_id"] for r in X.score(d, labels).collect() if r["toxic"]}
     assert X.fit(d, labels).threshold == 0.0 and {r[0] for r in bad} <= toxic
     assert X.fit(*tables(spark, docs, plain + bad[:4])).threshold == 0.0
+
+
+def test_models_are_fitted_on_a_bounded_sample(spark, docs, monkeypatch):
+    d, labels = tables(spark, docs, sample(600, 4))
+    assert X.labelled(d, labels).count() == 600
+    monkeypatch.setattr(X, "LABELLED", 300)
+    assert 200 < X.labelled(d, labels).count() < 400
+    got = X.score(d, labels)
+    assert got.count() == 600
