@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; their document frequencies are counted over all documents and items. Words outside
-   the benchmark have no weight.
-2. The benchmark's passages, as TF-IDF rows, are decomposed by a randomised SVD whose products (A'A times a block of vectors)
+1. The benchmark is taken in blocks of about BLOCK_ITEMS passages, by hash. Terms are the words of a block; their document
+   frequencies are counted over all documents and the block. Other words have no weight.
+2. A block's passages, as TF-IDF rows, are decomposed by a randomised SVD whose products (A'A times a block of vectors)
    are summed over the rows' partitions; RANK right singular vectors span the latent space. An item of more than PASSAGE words
    is cut into overlapping passages, each of which counts as an item of its own until the last step.
 3. Every document is read in overlapping windows of WINDOW words, at a step of STEP. RANK vectors can't hold a benchmark of
@@ -14,8 +14,9 @@
    VERBATIM of the item, or PARAPHRASE of it with ANSWER of the words of its answer (its last sentence) present too. A match is reported with the cosine
    of window and passage in the latent space, which ranks matches and excludes none.
 
-Windows cover whole texts, every document is a query, and nothing is capped. The terms and latent vectors are broadcast in
-blocks of BLOCK_ITEMS passages, one pass over the documents each, so what is sent stays bounded however large the benchmark is.
+Windows cover whole texts, every document is a query, and nothing is capped. A block has BLOCK_ITEMS * PASSAGE terms at most, so
+the matrix of terms x (RANK + OVERSAMPLE) that the driver holds and the terms and vectors that are broadcast have a bound however
+large the benchmark is; each block costs two passes over the documents (frequencies, matches).
 
 Cases. Null and empty texts, and texts or items without words, match nothing. Rows with a null doc_id can't be named: clean()
 judges them like any other row, pairs() leaves them out. Rows with a null item_id are matched under the null id by clean() and
@@ -25,7 +26,6 @@ pairs() and kept by clean().
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -39,7 +39,7 @@ from ._text import Table, U, chunks
 WINDOW, STEP, PASSAGE = 32, 16, 128
 RANK, OVERSAMPLE, POWER = 128, 16, 2
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 4000
 #: Of a passage's rarest words, so many must lie around a window; passages whose postings are read at a time.
 HITS, SLICE = 4, 2000
 _PASS = "item long, text string, answer string"
@@ -66,10 +66,10 @@ def passages(benchmark: DataFrame) -> DataFrame:
                         out["item"].append(item)
                         out["words"].append(part.view(np.int64))
                         out["answer"].append((answer if len(h) <= PASSAGE else part[-(PASSAGE // 4) :]).view(np.int64))
-            yield pa.record_batch({"item": pa.array(out["item"], pa.int64()), "words": pa.array(out["words"], pa.list_(pa.int64())), "answer": pa.array(out["answer"], pa.list_(pa.int64()))})
+            yield pa.record_batch({"item": pa.array(out["item"], b.schema.field("item").type), "words": pa.array(out["words"], pa.list_(pa.int64())), "answer": pa.array(out["answer"], pa.list_(pa.int64()))})
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null")
-    return arrow_map(rows, run, "item long, words array<long>, answer array<long>")
+    rows = benchmark.select(F.col("item_id").alias("item"), "text").filter("text is not null")
+    return arrow_map(rows, run, f"item {rows.schema['item'].dataType.simpleString()}, words array<long>, answer array<long>")
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -277,30 +277,31 @@ def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> list[Shared]:
-    spark = docs.sparkSession
-    items = cut(passages(benchmark))
+    all_ = cut(passages(benchmark))
+    blocks = -(-all_.count() // BLOCK_ITEMS)
+    each = [all_] if blocks == 1 else [cut(all_.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return [x for x in (_block(docs, items) for items in each) if x]
+
+
+def _block(docs: DataFrame, items: DataFrame) -> Shared | None:
     vocabulary = items.select(F.explode("words").alias("w"), F.xxhash64("item", "words").alias("row")).distinct().groupBy("w").agg(F.count("*").alias("n")).orderBy("w").toArrow()
     terms, own = np.asarray(vocabulary["w"]).view(U), np.asarray(vocabulary["n"])
     if not len(terms):
-        return []
+        return None
     df, n = _frequencies(docs, terms)
     rows = items.count()
     idf = np.log((n + rows + 1) / (np.minimum(df + own, n + rows) + 0.5))
     space = latent_space(items, terms, idf)
-    out = []
-    for k in range(math.ceil(rows / BLOCK_ITEMS)):
-        part = items if rows <= BLOCK_ITEMS else items.filter(F.pmod(F.xxhash64("words"), F.lit(math.ceil(rows / BLOCK_ITEMS))) == k)
-        got = part.orderBy("item", "words").toArrow()
-        as_list = lambda name: [np.asarray(x, np.int64).view(U) for x in got[name].to_pylist()]  # noqa: B023, E731
-        value = {"terms": terms, "idf": idf, "space": space, "item": got["item"].to_pylist(), "words": as_list("words"), "answer": as_list("answer")}
-        out.append(Shared(spark, value, _Probe))
-    return out
+    got = items.orderBy("item", "words").toArrow()
+    as_list = lambda name: [np.asarray(x, np.int64).view(U) for x in got[name].to_pylist()]
+    value = {"terms": terms, "idf": idf, "space": space, "item": got["item"].combine_chunks(), "words": as_list("words"), "answer": as_list("answer")}
+    return Shared(docs.sparkSession, value, _Probe)
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs_share and cosine of each document that holds a benchmark item."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, lcs_share double, cosine double"
+    schema = f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, lcs_share double, cosine double"
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _blocks(docs, benchmark):
 
@@ -310,7 +311,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = b.column("doc_id")
                 for c in chunks(b.column("text")):
                     if got := _matches(p, c):
-                        yield pa.record_batch({"doc_id": ids.take(pa.array([t + c.first for t, _ in got])), "item_id": pa.array([p.item[k] for _, k in got], pa.int64()), "lcs_share": [x for x, _ in got.values()], "cosine": [x for _, x in got.values()]})
+                        yield pa.record_batch({"doc_id": ids.take(pa.array([t + c.first for t, _ in got])), "item_id": p.item.take(pa.array([k for _, k in got])), "lcs_share": [x for x, _ in got.values()], "cosine": [x for _, x in got.values()]})
 
         out = out.unionByName(arrow_map(docs.select("doc_id", "text").filter("doc_id is not null and text is not null"), run, schema))
     best = out.filter("item_id is not null").groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "cosine")).alias("m"))

@@ -58,11 +58,12 @@ def bench(spark, items):
 CASES = [(900, None), (901, ""), (902, "..."), (None, "null id")]
 
 
-def test_recall_and_precision_against_brute_force(spark, docs):
+def test_matches_brute_force_in_several_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_ITEMS", 12)
     rows, items = sample()
     rows, items = rows + CASES + rows[:1], items + [(500, None), (501, ""), (None, "text of a null item")]
     want, got = brute(rows, items), [(r["doc_id"], r["item_id"]) for r in C.pairs(docs(rows, clash=True), bench(spark, items)).collect()]
-    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want) and len(want) >= 20
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 20
 
 
 def test_long_items_and_long_texts(spark, docs):
@@ -80,7 +81,14 @@ def test_clean_keeps_the_rest(spark, docs):
     hit = {d for d, _ in brute(rows, items)}
     out = [(r["doc_id"], r["text"]) for r in C.clean(docs(rows, clash=True), bench(spark, items)).collect()]
     lost = [d for d, t in rows if (d, t) not in out]
-    assert None in lost and {d for d in lost if d is not None} <= hit and len(lost) >= 0.9 * len(hit) and all(r in out for r in CASES)
+    assert None in lost and {d for d in lost if d is not None} == hit and all(r in out for r in CASES)
+
+
+def test_ids_of_any_type(spark):
+    text = "which river crosses seven old stone bridges before the sea"
+    d = spark.createDataFrame([("d1", f"so {text} it is"), ("d2", "nothing here")], "doc_id string, text string")
+    b = spark.createDataFrame([("q1", text)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in C.pairs(d, b).collect()] == [("d1", "q1")]
 
 
 def test_empty(spark, docs):
