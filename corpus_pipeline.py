@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from paperloom.llm._spark import shared_dir, table
+from paperloom.llm._spark import delete_on_exit, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/paperloom-pipeline-{uuid.uuid4().hex}"
+    delete_on_exit(spark, at)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
