@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows that are Python objects at a time.
+SLICE = 32
+
 
 def flat_map(df: DataFrame, decode: Callable[[dict], Iterable[dict]], schema: str | StructType, flush: int = 4096) -> DataFrame:
     """decode(row) of each row; missing keys are null. Output goes on every `flush` rows, so a large part doesn't pile up."""
@@ -18,11 +21,12 @@ def flat_map(df: DataFrame, decode: Callable[[dict], Iterable[dict]], schema: st
     def run(batches):
         out = []
         for batch in batches:
-            for k in range(batch.num_rows):
-                out.extend(decode(batch.slice(k, 1).to_pylist()[0]))
-                if len(out) >= flush:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                    out = []
+            for k in range(0, batch.num_rows, SLICE):
+                for row in batch.slice(k, SLICE).to_pylist():
+                    out.extend(decode(row))
+                    if len(out) >= flush:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

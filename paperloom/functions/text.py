@@ -51,10 +51,6 @@ def markdown_table(rows: Column) -> Column:
     return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, full).otherwise(F.array().cast("array<string>"))
 
 
-def link_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\\[\]])", r"\\$1")
-
-
 def json_text(c: Column) -> Column:
     """A text as a JSON string (a YAML scalar, too)."""
     return F.substring(F.to_json(F.array(c)), 2, F.length(F.to_json(F.array(c))) - 2)
@@ -66,10 +62,6 @@ def looks_numeric(c: Column) -> Column:
     return bare.rlike(r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(nan|inf|infinity)$")
 
 
-def is_external(link: Column) -> Column:
-    return link.rlike(r"(?i)^(https?://|data:|mailto:)|^#|^/|^[A-Za-z]:[\\/]|^\\\\")
-
-
 def safe_filename(c: Column) -> Column:
     base = F.regexp_extract(F.replace(c, F.lit("\\"), F.lit("/")), r"([^/]*)/*$", 1)
     base = F.when(strip(base) == "", F.lit("ole_payload.bin")).otherwise(strip(base))
@@ -90,10 +82,6 @@ def resolve(base: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")
 
 
-def a1_row(ref: Column) -> Column:
-    return F.coalesce(F.expr("try_cast(1 as int)") * F.nullif(F.regexp_extract(ref, r"^[A-Z]+(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
-
-
 def column_letters(col: Column) -> Column:
     """Letters of a 1-based column up to 16384 (XFD)."""
     ch = lambda k: F.char(k + 65)
@@ -202,16 +190,7 @@ def _batched(f):
     return run
 
 
-def _listed(f):
-    @F.arrow_udf(ArrayType(StringType()))
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [f(x or "") for x in t] for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    return run
-
-
-loose_col, semantic_col, plain_html_col, readable_col = (_batched(f) for f in (loose, semantic, plain_html, read_for_people))
-semantic_list, loose_list = _listed(semantic), _listed(loose)
+loose_col, plain_html_col, readable_col = (_batched(f) for f in (loose, plain_html, read_for_people))
 
 
 @F.arrow_udf(StringType())

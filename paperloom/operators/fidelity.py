@@ -164,7 +164,7 @@ def _portability(c: Column, files: Column) -> Column:
     d = "markdown_portability"
     where = lambda link: F.aggregate(F.split(F.concat(F.lit("structured/"), link), "/"), F.array(F.lit("")), lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.when(F.size(a) > 0, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(s))))
     escapes = lambda link: F.size(where(link)) == 0
-    exists = lambda link: F.array_contains(files, F.array_join(F.slice(where(link), 2, 1000), "/"))
+    exists = lambda link: F.array_contains(files, F.array_join(F.filter(where(link), lambda _, k: k > 0), "/"))
     images = _each(M.image_links(c), lambda x: F.when(x.startswith("data:"), _check(d, False, F.concat(F.lit("base64 image "), F.substring(x, 1, 24)))).when(x.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:|^/"), _check(d, False, F.concat(F.lit("non-relative image path "), x))).when(escapes(x), _check(d, False, F.concat(F.lit("image path escapes package "), x))).otherwise(_check(d, F.coalesce(exists(x), F.lit(False)), F.concat(F.lit("image exists "), x))))
     flags = F.array_compact(F.array(F.when(c.rlike(r"(?i)<table\b"), _check(d, False, F.lit("html table"))), F.when(c.rlike(r"(?i)\bfile://"), _check(d, False, F.lit("file url")))))
     ls = F.col("ls")
@@ -231,8 +231,8 @@ def checks(packages: DataFrame, expected: DataFrame) -> DataFrame:
     arts = F.filter(_each(F.col("e.smartarts"), lambda x, k: F.when(F.coalesce(F.size(x["texts"]), F.lit(0)) > 0, _check("smartart_text_recall", every(own("e.smartarts", "art", x, k, lambda y: y["texts"]), nfull), F.array_join(x["texts"], " / ")))), lambda c: c.isNotNull())
     notes = _each(F.col("e.footnotes"), lambda x, k: _check("footnote_recall", _has(nbody, n("foot", k)), F.concat(F.lit("id="), s(x["id"]), F.lit(" text="), cut(x["text"], 40))))
     forms = lambda i: F.array(F.concat(F.lit("[^"), i, F.lit("]")), F.concat(F.lit("[["), i, F.lit("]](#footnote-"), i, F.lit(")")), F.concat(F.lit("[["), i, F.lit("]](#endnote-"), i, F.lit(")")), F.concat(F.lit("#footnote-ref-"), i), F.concat(F.lit("#endnote-ref-"), i))
-    anchors = _each(F.col("e.footnotes"), lambda x: _check("footnote_anchor_accuracy", F.coalesce(_between(lower, F.lower(x["anchor_before"]), F.lower(x["anchor_after"]), F.flatten(F.transform(forms(F.lower(T.strip(x["id"]))), lambda m: _occurrences(lower, m)))), F.lit(False)), F.concat(F.lit("id="), s(x["id"]), F.lit(" anchor="), cut(x["anchor_before"], 1000), F.lit("..."))))
-    links = _each(F.col("e.hyperlinks"), lambda x: _check("hyperlink_recall", _has(lower, F.lower(T.strip(x["url"]))), F.concat(F.lit("url="), s(x["url"]), F.lit(" anchor="), cut(x["anchor"], 1000))))
+    anchors = _each(F.col("e.footnotes"), lambda x: _check("footnote_anchor_accuracy", F.coalesce(_between(lower, F.lower(x["anchor_before"]), F.lower(x["anchor_after"]), F.flatten(F.transform(forms(F.lower(T.strip(x["id"]))), lambda m: _occurrences(lower, m)))), F.lit(False)), F.concat(F.lit("id="), s(x["id"]), F.lit(" anchor="), F.coalesce(x["anchor_before"], F.lit("")), F.lit("..."))))
+    links = _each(F.col("e.hyperlinks"), lambda x: _check("hyperlink_recall", _has(lower, F.lower(T.strip(x["url"]))), F.concat(F.lit("url="), s(x["url"]), F.lit(" anchor="), F.coalesce(x["anchor"], F.lit("")))))
     toc = _each(F.col("e.toc"), lambda x, k: _check("toc_recall", _has(F.col("ntoc"), n("toc", k)), F.concat(F.lit("toc entry="), cut(x["text"], 50))))
     textboxes = _each(F.col("e.textboxes"), lambda x, k: _check("textbox_recall", _has(nbody, n("tb", k)), F.concat(F.lit("textbox text="), cut(x["text"], 50))))
     numbered = _each(F.col("e.numbered_items"), lambda x: _check("numbering_recall", F.coalesce((x["number"] != "") & (x["text"] != "") & F.rlike(body, F.concat(F.lit(r"(?m)^\s*"), quoted(T.strip(x["number"])), F.lit(r"\s*[.)\]]\s*"), quoted(x["text"]))), F.lit(False)), F.concat(F.lit("number="), s(x["number"]), F.lit(" text="), cut(x["text"], 40))))
@@ -261,10 +261,11 @@ def scores(checks_: DataFrame) -> DataFrame:
     return checks_.groupBy("doc_id", "method", "dimension").agg((F.sum("ok") / F.sum("total")).alias("score")).filter("score is not null")
 
 
-def doc_scores(scores_: DataFrame, packages: DataFrame) -> DataFrame:
-    """The mean of a package's applicable dimensions, 0.0 where there is none."""
+def doc_scores(scores_: DataFrame, packages: DataFrame, expected: DataFrame) -> DataFrame:
+    """The mean of a package's applicable dimensions, 0.0 where there is none. Packages without ground truth aren't scored."""
     mean = scores_.groupBy("doc_id", "method").agg(F.avg("score").alias("doc_score"))
-    return packages.select("doc_id", "method").distinct().join(mean, ["doc_id", "method"], "left").withColumn("doc_score", F.coalesce("doc_score", F.lit(0.0)))
+    judged = packages.select("doc_id", "method").distinct().join(expected.select("doc_id"), "doc_id", "left_semi")
+    return judged.join(mean, ["doc_id", "method"], "left").withColumn("doc_score", F.coalesce("doc_score", F.lit(0.0)))
 
 
 def summary(scores_: DataFrame, doc_scores_: DataFrame) -> DataFrame:
@@ -297,9 +298,19 @@ def token_f1(gold: Column, content: Column) -> Column:
 
 
 def level_similarity(gold: Column, content: Column) -> Column:
-    """1 - edit distance of two sequences of heading levels over the longer one's length; null without gold levels."""
-    text = lambda a: F.array_join(F.transform(a, lambda x: F.char(x + 64)), "")
-    return F.when(F.size(gold) > 0, 1.0 - F.levenshtein(text(gold), text(content)) / F.greatest(F.size(gold), F.size(content)))
+    """1 - edit distance of two sequences of heading levels over the longer one's length; null without gold levels.
+
+    The content's levels are first moved by the most frequent difference of the levels in the same place (the least in size on a
+    tie, none where no two agree): a converter that shifts every heading alike keeps the tree.
+    """
+    pairs = F.filter(F.arrays_zip(gold.alias("g"), content.alias("c")), lambda x: x["g"].isNotNull() & x["c"].isNotNull())
+    moves = F.transform(pairs, lambda x: x["c"] - x["g"])
+    votes = F.transform(F.array_distinct(moves), lambda m, k: F.struct(F.size(F.filter(moves, lambda x: x == m)).alias("n"), (-F.abs(m)).alias("near"), (-k).alias("first"), m.alias("m")))
+    best = F.array_max(votes)
+    offset = F.when(best["n"] > 1, best["m"]).otherwise(0)
+    text = lambda a, by: F.array_join(F.transform(a, lambda x: F.char(x - by + 77)), "")
+    distance = F.levenshtein(text(gold, F.lit(0)), text(content, offset))
+    return F.when(F.size(gold) > 0, 1.0 - distance / F.greatest(F.size(gold), F.size(content)))
 
 
 def cell_match(gold: DataFrame, parsed: DataFrame) -> DataFrame:

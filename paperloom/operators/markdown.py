@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +37,21 @@ def headings(lines_: DataFrame, *keys: str) -> DataFrame:
 
 
 def parents(headings_: DataFrame, *keys: str) -> DataFrame:
-    """headings with `parents`, the texts of the enclosing headings, outermost first: a fold over the headings so far."""
-    node = F.struct(F.col("level"), F.col("text"))
-    so_far = F.collect_list(node).over(Window.partitionBy(*keys).orderBy("last_line").rowsBetween(Window.unboundedPreceding, -1))
-    none = F.expr("cast(array() as array<struct<level:int,text:string>>)")
-    open_ = F.aggregate(so_far, none, lambda acc, n: F.concat(F.filter(acc, lambda p: p["level"] < n["level"]), F.array(n)))
-    return headings_.withColumn("parents", F.transform(F.filter(open_, lambda p: p["level"] < F.col("level")), lambda p: p["text"]))
-
-
-def toc_region(content: Column) -> Column:
-    """The text between the heading 'table of contents' and the next heading, '' where there is none."""
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else toc(t) for t in texts.to_pylist()], pa.string())
-
-    return cut(content)
+    """headings with `parents`, the texts of the enclosing headings, outermost first.
+
+    A heading's enclosing one of a level is the last before it, unless a heading of a lesser level came in between: one running
+    window a level, so the work grows with the number of headings.
+    """
+    before = Window.partitionBy(*keys).orderBy("last_line").rowsBetween(Window.unboundedPreceding, -1)
+    at = [F.last(F.when(F.col("level") == level, F.struct("last_line", "text")), ignorenulls=True).over(before).alias(f"at{level}") for level in range(1, 7)]
+    h = headings_.select("*", *at)
+    line = lambda level: F.coalesce(F.col(f"at{level}.last_line"), F.lit(-1))
+    open_ = []
+    for level in range(1, 7):
+        lower = [line(k) for k in range(1, level)]
+        after = F.lit(-1) if not lower else lower[0] if len(lower) == 1 else F.greatest(*lower)
+        open_.append(F.when((F.col("level") > level) & (line(level) > after), F.col(f"at{level}.text")))
+    return h.select(*headings_.columns, F.array_compact(F.array(*open_)).alias("parents"))
 
 
 def heading_spans(text: str) -> list[tuple[int, int, int, str]]:

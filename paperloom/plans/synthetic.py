@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,3 +127,53 @@ def converted(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array(F.col("c_name"), F.col("c_mktsegment"), F.lit("not in the text")).alias("key_texts"), F.array(box, box).alias("checkboxes"), F.array(F.struct(link.alias("url"), F.lit("see").alias("anchor"))).alias("hyperlinks"),
     )
     return packages, c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(expected).alias("expected"))
+
+
+_BODY = """# @n
+
+| name | key |
+| --- | --- |
+| @n | seg @k |
+
+\u25a1 yes
+
+key @k, chart @k, alpha @k, box @k; see https://x.org/@k here
+
+art @k; before note[^1] after note
+
+see image ![](assets/images/image_01.png) end image
+
+1. item @k
+
+| 2. | anchor @k |
+
+## Table of Contents
+
+chapter @k
+
+## End
+
+[^1]: note @k
+"""
+#: @k is the key, @x the key of even ones and a word that no text has for the others, @n the name.
+_EXPECTED = {
+    "embedded_objects": [{"ref": "attachment_01"}, {"ref": "attachment_02"}], "images": [{"ref": "image_01"}], "tables": [{"index": 0, "rows": 2, "cols": 2}, {"index": 1, "rows": 9, "cols": 9}],
+    "nested_tables": [{"index": 0, "rows": 2, "cols": 2, "texts": ["seg @x"]}], "nested_table_assets": [{"table_index": 0, "kind": "object", "texts": ["att @x"]}], "headings": [{"level": 1, "text": "@n"}, {"level": 2, "text": "Absent"}],
+    "key_texts": ["key @k", "nowhere"], "checkboxes": [{"text": "\u25a1 yes"}, {"text": "\u25a1 yes"}], "charts": [{"texts": ["chart @k", "q9 gone"]}], "smartarts": [{"texts": ["art @x"]}],
+    "footnotes": [{"id": "1", "text": "note @x", "anchor_before": "before note", "anchor_after": "after note"}], "hyperlinks": [{"url": "https://x.org/@x", "anchor": "see"}], "toc": [{"text": "chapter @k"}, {"text": "gone"}],
+    "textboxes": [{"text": "box @x"}], "numbered_items": [{"number": "1", "text": "item @x"}], "table_numbered_items": [{"number": "2", "anchor": "anchor @x"}], "formulas": [{"label": "f", "tokens": ["alpha @x"]}],
+    "table_cell_checks": [{"label": "t", "table_index": 0, "cells": [{"row": 1, "col": 0, "text": "@n"}, {"row": 1, "col": 1, "text": "other"}]}], "asset_anchors": [{"ref": "image_01", "before": "see image", "after": "end image"}],
+    "embedded_content": [{"ref": "attachment_01", "texts": ["att @k", "gone"]}], "markdown_portability": True,
+}
+
+
+def converted_in_full(suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A converted package a supplier, and an expectation of each of the 23 dimensions."""
+    key = F.col("s_suppkey").cast("string")
+    other = F.when(F.col("s_suppkey") % 2 == 0, key).otherwise("none")
+    fill = lambda text: F.replace(F.replace(F.replace(F.lit(text), F.lit("@k"), key), F.lit("@x"), other), F.lit("@n"), F.col("s_name"))
+    asset = lambda ref, path: F.struct(F.lit(ref).alias("ref"), F.lit(path).alias("path"), F.lit(None).cast("string").alias("markdown_reference"), F.lit(None).cast("string").alias("filename"))
+    manifest = F.struct(F.array(asset("attachment_01", "structured/resources/attachment_01/preview.md")).alias("embedded_objects"), F.array(asset("image_01", "assets/images/image_01.png")).alias("images"))
+    extra = F.array(F.struct(F.lit("attachment_01").alias("ref"), fill("att @k").alias("text")))
+    packages = suppliers.select(key.alias("doc_id"), F.lit("m").alias("method"), fill(_BODY).alias("body"), extra.alias("extra"), manifest.alias("manifest"), F.array(F.lit("structured/assets/images/image_01.png")).alias("files"))
+    return packages, suppliers.select(key.alias("doc_id"), fill(json.dumps(_EXPECTED, ensure_ascii=False)).alias("expected"))

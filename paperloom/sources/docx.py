@@ -381,6 +381,16 @@ def _note_texts(xml: bytes | None, kind: str) -> dict[str, str]:
     return out
 
 
+def _flat_start(text: str, at: int, least: int) -> str:
+    """The collapsed text from a position on, of at least so many characters if there are as many."""
+    n = 4 * least
+    while True:
+        flat = _flat(text[at : at + n])
+        if len(flat) >= least or at + n >= len(text):
+            return flat
+        n *= 2
+
+
 def notes(parts: dict[str, bytes]) -> list[dict]:
     """Note references in order, numbered before those without a text drop out; with up to 80 characters around them."""
     root = parse(parts.get("word/document.xml"))
@@ -396,7 +406,7 @@ def notes(parts: dict[str, bytes]) -> list[dict]:
             continue
         n += 1
         if text := texts[kind].get(value):
-            before, after = _flat(re.split(r"[\r\n]+", whole[:at])[-1]), _flat(whole[at : at + 4096])
+            before, after = _flat(re.split(r"[\r\n]+", whole[:at])[-1]), _flat_start(whole, at, 81)
             if len(before) > 80:
                 before = before[-80:].partition(" ")[2] if " " in before[-80:] else before[-80:]
             if len(after) > 80:

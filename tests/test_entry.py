@@ -31,7 +31,7 @@ def shown(rows):
     return sorted(repr(tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.SQL if n not in ("xlsx_header_split",)])
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_matches_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
