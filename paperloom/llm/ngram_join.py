@@ -38,7 +38,9 @@ from ._text import U, chunks, i64, mix, ngrams, sets
 N, THRESHOLD = 3, 0.5
 ROWS, BANDS = 4, 4
 #: Cells (n-gram, set) of a bucket on average, and cells after which a task sends what it has.
-CELLS, FLUSH = 1 << 21, 1 << 22
+CELLS, FLUSH = 1 << 22, 1 << 22
+#: N-grams by which prefixes are longer than they must be: as many of a set may collide in their 40-bit names.
+SLACK = 2
 #: Bits of a set's bitmap, and sets of a slot.
 BITMAP, TILE = 2048, 512
 _rng = np.random.default_rng(20240607)
@@ -85,23 +87,27 @@ def _signatures(batches):
 
 # ---- cells in blobs -------------------------------------------------------------------------------------------------------
 
-_BLOB = "bucket int, reps binary, sizes binary, counts binary, grams binary, ranks binary"
+_BLOB = "bucket int, reps binary, counts binary, grams binary, ranks binary"
+_RUN = (1 << 16) - 1
 
 
-def _blobs(bucket: np.ndarray, owner: np.ndarray, rep: np.ndarray, size: np.ndarray, gram: np.ndarray, rank: np.ndarray | None):
-    """A row a bucket; cells come in the order of (bucket, owner), owner being an index into rep and size."""
+def _blobs(bucket: np.ndarray, owner: np.ndarray, rep: np.ndarray, gram: np.ndarray, rank: np.ndarray | None):
+    """A row a bucket; cells come in the order of (bucket, owner), owner being an index into rep. A run of a set is cut where 16 bits end."""
     if not len(bucket):
         return
-    runs = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
-    counts, of = np.diff(np.append(runs, len(bucket))).astype(np.uint32), owner[runs]
-    reps, sizes = rep[of], size[of].astype(np.uint32)
+    new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])))
+    runs = np.flatnonzero(new)
+    if len(bucket) > _RUN:
+        new |= (np.arange(len(bucket)) - np.repeat(runs, np.diff(np.append(runs, len(bucket))))) % _RUN == 0
+        runs = np.flatnonzero(new)
+    counts, reps = np.diff(np.append(runs, len(bucket))).astype(np.uint16), rep[owner[runs]]
     heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     ends, first, last = np.append(heads[1:], len(bucket)), np.searchsorted(runs, heads), np.searchsorted(runs, np.append(heads[1:], len(bucket)))
     for k in range(0, len(heads), 256):
         span = range(k, min(k + 256, len(heads)))
         binary = lambda a, lo, hi: pa.array([a[lo[i] : hi[i]].tobytes() for i in span], pa.binary())  # noqa: B023, E731
         yield pa.record_batch({
-            "bucket": bucket[heads[k : k + 256]].astype(np.int32), "reps": binary(reps, first, last), "sizes": binary(sizes, first, last), "counts": binary(counts, first, last),
+            "bucket": bucket[heads[k : k + 256]].astype(np.int32), "reps": binary(reps, first, last), "counts": binary(counts, first, last),
             "grams": binary(gram, heads, ends), "ranks": binary(rank, heads, ends) if rank is not None else pa.nulls(len(span), pa.binary()),
         })
 
@@ -139,7 +145,7 @@ def _cells(buckets: int):
         h = mix(g)
         bucket = ((h >> U(32)) * U(buckets)) >> U(32)
         order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
-        yield from _blobs(bucket[order], at[order], rep, size, h[order].astype(np.uint32), None)
+        yield from _blobs(bucket[order], at[order], rep, h[order].astype(np.uint32), None)
 
     def run(batches):
         held, total = [], 0
@@ -162,22 +168,19 @@ def _shared(slots: int):
     """Blobs by n-gram -> blobs by set, of the n-grams that several sets hold, with their rank (a coarse logarithm of how many)."""
 
     def flush(out):
-        rep, size, gram, rank = (np.concatenate(x) for x in zip(*out, strict=True))
+        rep, gram, rank = (np.concatenate(x) for x in zip(*out, strict=True))
         names, owner = np.unique(rep, return_inverse=True)
-        sizes = np.zeros(len(names), np.uint32)
-        sizes[owner] = size
         slot = i64(names) % slots
         order = np.lexsort((owner, slot[owner]))
-        yield from _blobs(slot[owner[order]], owner[order], names, sizes, gram[order], rank[order])
+        gram = mix(gram[order]) >> U(24)
+        both = (rank[order].astype(np.uint16) << np.uint16(8)) | (gram >> U(32)).astype(np.uint16)
+        yield from _blobs(slot[owner[order]], owner[order], names, gram.astype(np.uint32), both)
 
     def run(batches):
         out, total = [], 0
         for bucket, held in _by_bucket(batches):
-            rep, size = _joined(held, "reps", U), _joined(held, "sizes", np.uint32)
-            names, own = np.unique(rep, return_inverse=True)
-            sizes = np.zeros(len(names), np.uint32)
-            sizes[own] = size
-            cell = (_joined(held, "grams", np.uint32).astype(U) << U(32)) | np.repeat(own, _joined(held, "counts", np.uint32)).astype(U)
+            names, own = np.unique(_joined(held, "reps", U), return_inverse=True)
+            cell = (_joined(held, "grams", np.uint32).astype(U) << U(32)) | np.repeat(own, _joined(held, "counts", np.uint16)).astype(U)
             cell.sort()
             cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))]
             gram = cell >> U(32)
@@ -186,7 +189,7 @@ def _shared(slots: int):
             several = np.repeat(n > 1, n)
             rank = np.minimum(255, 8 * np.log2(n[n > 1])).astype(np.uint8)
             own = (cell[several] & U(0xFFFFFFFF)).astype(np.int64)
-            out.append((names[own], sizes[own], (U(bucket) << U(32)) | gram[several], np.repeat(rank, n[n > 1])))
+            out.append((names[own], (U(bucket) << U(32)) | gram[several], np.repeat(rank, n[n > 1])))
             total += len(own)
             if total >= FLUSH:
                 yield from flush(out)
@@ -198,25 +201,23 @@ def _shared(slots: int):
 
 
 def _prefixes(batches):
-    """Blobs by set, and rows (rep, family) of the sets -> (gram, family) of the n-grams within prefixes."""
+    """Blobs by set, and rows (rep, size, family) of the sets -> (gram, family) of the n-grams within prefixes."""
     for _, held in _by_bucket(batches):
         named = [b.filter(b.column("family").is_valid()) for b in held]
-        rep, family = (np.concatenate([np.asarray(b.column(c)) for b in named]) for c in ("rep", "family"))
+        rep, size, family = (np.concatenate([np.asarray(b.column(c)) for b in named]) for c in ("rep", "size", "family"))
         order = np.argsort(rep)
-        rep, family = rep[order], family[order]
-        count = _joined(held, "counts", np.uint32)
+        rep, size, family = rep[order], size[order].astype(np.int64), family[order]
+        count = _joined(held, "counts", np.uint16)
         if not len(count):
             continue
-        own = np.searchsorted(rep, _joined(held, "reps", np.int64))
-        size = np.zeros(len(rep), np.int64)
-        size[own] = _joined(held, "sizes", np.uint32)
-        own = np.repeat(own, count)
-        gram, rank = _joined(held, "grams", U), _joined(held, "ranks", np.uint8)
+        own = np.repeat(np.searchsorted(rep, _joined(held, "reps", np.int64)), count)
+        rank = _joined(held, "ranks", np.uint16)
+        gram, rank = (rank & np.uint16(255)).astype(U) << U(32) | _joined(held, "grams", np.uint32).astype(U), rank >> np.uint16(8)
         order = np.lexsort((gram, rank, own))
         own, gram = own[order], gram[order]
         n = np.bincount(own, minlength=len(rep))
         place = np.arange(len(own)) - (np.cumsum(n) - n)[own] + (size - n)[own]  # n-grams of one set come first
-        ok = place < size[own] - np.ceil(THRESHOLD * size[own] - 1e-9) + 1
+        ok = place < size[own] - np.ceil(THRESHOLD * size[own] - 1e-9) + 1 + SLACK
         gram, family_ = gram[ok], family[own[ok]]
         order = np.lexsort((family_, gram))
         gram, family_ = gram[order], family_[order]
@@ -390,7 +391,7 @@ def _candidates(texts: DataFrame, reps: DataFrame) -> DataFrame:
     buckets = max(1, -(-(size["cells"] or 0) // CELLS))
     cells = arrow_map(texts.select("text"), _cells(buckets), _BLOB).repartition("bucket").sortWithinPartitions("bucket")
     shared = arrow_map(cells, _shared(buckets), _BLOB)
-    sets_ = reps.select(F.pmod("rep", F.lit(buckets)).cast("int").alias("bucket"), "rep", "family")
+    sets_ = reps.select(F.pmod("rep", F.lit(buckets)).cast("int").alias("bucket"), "rep", "size", "family")
     both = shared.unionByName(sets_, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
     prefixes = arrow_map(both, _prefixes, "gram long, family long")
     met = arrow_map(prefixes.repartition("gram"), _family_pairs, "a long, b long")
