@@ -8,11 +8,14 @@
    them. Of two sets A and B at the threshold, the first |A| - ceil(THRESHOLD |A|) + 1 n-grams of A and as many of B have one in
    common. N-grams that one representative holds can't be that one. So the families of each other n-gram within a prefix are
    paired, if their size bands are compatible; so are the families of one leader. No pair of sets at the threshold is lost.
-4. Family pairs form tiles: (group of linked families, slot, slot), where a large group is cut into slots by hash, so a set travels
-   to a few tiles, not to each of its pairs. In a tile each set has a hashed bitmap; an element of A without its bit in B's
-   bitmap is not in B, so popcounts bound the overlap from above. Pairs that can still reach the threshold are decided exactly,
-   by intersecting sorted arrays. A tile hands on one row a set: the number of documents that it is linked to in the tile, and
-   the least set of its component there; the pairs themselves are written only where they are asked for.
+4. Families of more than TILE sets are cut into units by hash, others are units themselves. A group of linked families puts its
+   units into slots, by hash, and the pairs of units of two slots form a tile: a pair of units is in one tile, and a set travels
+   only to tiles that pair it, once to each. In a tile with few pairs for its sets, each set has a hashed bitmap; an element of A
+   without its bit in B's bitmap is not in B, so popcounts bound the overlap from above, and pairs that can still reach the
+   threshold are decided exactly, by intersecting sorted arrays. In a tile with many, the overlaps of all its sets are counted at
+   once, n-gram by n-gram: n-grams of many sets as columns of a matrix product, others by listing their pairs. A tile hands on one
+   row a set: the number of documents that it is linked to in the tile, and the least set of its component there; the pairs
+   themselves are written only where they are asked for.
 
 Similarities are exact over 47-bit n-gram hashes, and recall is complete. Nothing is capped.
 
@@ -27,22 +30,26 @@ type that can be ordered. Other columns are ignored by classes() and join(), and
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, components, cut, free_name, join_small, table
+from ._spark import arrow_map, components, cut, free_name, join_small, release, table
 from ._text import U, chunks, i64, mix, ngrams, sets
 
 N, THRESHOLD = 3, 0.5
 ROWS, BANDS = 4, 4
-#: Cells (n-gram, set) of a bucket on average, and cells after which a task sends what it has.
-CELLS, FLUSH = 1 << 22, 1 << 22
+#: Cells (n-gram, set) of a bucket on average, cells after which a task sends what it has, and cells that are sorted at a time.
+CELLS, FLUSH, SORT = 1 << 22, 1 << 20, 1 << 20
 #: N-grams by which prefixes are longer than they must be: as many of a set may collide in their 40-bit names.
 SLACK = 2
-#: Bits of a set's bitmap, and sets of a slot.
+#: Bits of a set's bitmap, and sets of a slot, on average, and of a unit at most, as far as hashes are even.
 BITMAP, TILE = 2048, 512
+#: Pairs of sets a set from which on a tile's overlaps are counted at once, sets of such a tile at most, and columns of a product.
+DENSE, WIDEST, COLUMNS = 4, 4096, 1024
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -137,15 +144,16 @@ def _cells(buckets: int):
     """Texts -> blobs of the cells of their sets, by bucket of the n-gram."""
 
     def flush(held):
-        g, of, rep, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.repeat(np.arange(len(rep)), size)
+        g, rep, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.repeat(np.arange(len(rep), dtype=np.uint32), size)
         once = np.zeros(len(rep), bool)
         once[np.unique(rep, return_index=True)[1]] = True
         g, at = g[once[at]], at[once[at]]
         h = mix(g)
-        bucket = ((h >> U(32)) * U(buckets)) >> U(32)
-        order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+        bucket = (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
         yield from _blobs(bucket[order], at[order], rep, h[order].astype(np.uint32), None)
+        release()
 
     def run(batches):
         held, total = [], 0
@@ -153,7 +161,7 @@ def _cells(buckets: int):
             for c in chunks(b.column("text")):
                 g, bounds = _sets(c)
                 full, _, rep = _named(g, bounds)
-                held.append((g, full, rep, np.diff(bounds)[full]))
+                held.append((g, rep, np.diff(bounds)[full]))
                 total += len(g)
                 if total >= FLUSH:
                     yield from flush(held)
@@ -168,32 +176,43 @@ def _shared(slots: int):
     """Blobs by n-gram -> blobs by set, of the n-grams that several sets hold, with their rank (a coarse logarithm of how many)."""
 
     def flush(out):
-        rep, gram, rank = (np.concatenate(x) for x in zip(*out, strict=True))
-        names, owner = np.unique(rep, return_inverse=True)
-        slot = i64(names) % slots
-        order = np.lexsort((owner, slot[owner]))
-        gram = mix(gram[order]) >> U(24)
-        both = (rank[order].astype(np.uint16) << np.uint16(8)) | (gram >> U(32)).astype(np.uint16)
-        yield from _blobs(slot[owner[order]], owner[order], names, gram.astype(np.uint32), both)
+        names = np.unique(np.concatenate([rep for rep, _, _, _ in out]))
+        slot = (i64(names) % slots).astype(np.uint32)
+        names, slot = names[order := np.argsort(slot, kind="stable")], slot[order]
+        place = np.argsort(order)  # of the sorted names
+        owner = np.concatenate([place[np.searchsorted(np.sort(names), rep)].astype(np.uint32)[own] for rep, own, _, _ in out])
+        order = np.argsort(owner, kind="stable")
+        owner, gram = owner[order], mix(np.concatenate([gram for _, _, gram, _ in out])[order]) >> U(24)
+        both = (np.concatenate([rank for _, _, _, rank in out])[order].astype(np.uint16) << np.uint16(8)) | (gram >> U(32)).astype(np.uint16)
+        yield from _blobs(slot[owner], owner, names, gram.astype(np.uint32), both)
+        release()
 
     def run(batches):
         out, total = [], 0
         for bucket, held in _by_bucket(batches):
             names, own = np.unique(_joined(held, "reps", U), return_inverse=True)
-            cell = (_joined(held, "grams", np.uint32).astype(U) << U(32)) | np.repeat(own, _joined(held, "counts", np.uint16)).astype(U)
-            cell.sort()
-            cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))]
-            gram = cell >> U(32)
-            heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            n = np.diff(np.append(heads, len(gram)))
-            several = np.repeat(n > 1, n)
-            rank = np.minimum(255, 8 * np.log2(n[n > 1])).astype(np.uint8)
-            own = (cell[several] & U(0xFFFFFFFF)).astype(np.int64)
-            out.append((names[own], (U(bucket) << U(32)) | gram[several], np.repeat(rank, n[n > 1])))
-            total += len(own)
-            if total >= FLUSH:
-                yield from flush(out)
-                out, total = [], 0
+            own, grams = np.repeat(own.astype(np.uint32), _joined(held, "counts", np.uint16)), _joined(held, "grams", np.uint32)
+            held.clear()
+            low, high = (int(x(grams)) for x in (np.min, np.max))
+            parts = max(1, -(-len(grams) // SORT))
+            edges = [low + (high + 1 - low) * k // parts for k in range(parts)] + [high + 1]
+            for lo, hi in zip(edges, edges[1:], strict=False):  # n-grams are hashes, so parts are even
+                some = slice(None) if parts == 1 else (grams >= lo) & (grams < hi)
+                cell = (grams[some].astype(U) << U(32)) | own[some]
+                if not len(cell):
+                    continue
+                cell.sort()
+                cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))]
+                gram = (cell >> U(32)).astype(np.uint32)
+                heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+                n = np.diff(np.append(heads, len(gram)))
+                several = np.repeat(n > 1, n)
+                rank = np.minimum(255, 8 * np.log2(n[n > 1])).astype(np.uint8)
+                out.append((names, cell[several].astype(np.uint32), (U(bucket) << U(32)) | gram[several], np.repeat(rank, n[n > 1])))
+                total += len(out[-1][1])
+                if total >= FLUSH:
+                    yield from flush(out)
+                    out, total = [], 0
         if total:
             yield from flush(out)
 
@@ -261,16 +280,20 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(U)
 
 
-class _Family:
-    """A tile's sets of one family: name, documents, slot, sorted n-grams, bitmap and size of each."""
+class _Unit:
+    """A tile's sets of one unit: name, documents, sorted n-grams and size of each, and bitmaps where they are asked for."""
 
     def __init__(self, rows: list):
-        self.rep, self.weight, self.slot = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        self.sets, self.bits = [r[3] for r in rows], np.stack([_bitmap(r[3]) for r in rows])
+        self.rep, self.weight = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+        self.sets = [r[2] for r in rows]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.stack([_bitmap(s) for s in self.sets])
+
 
-def _alike(s: np.ndarray, bits: np.ndarray, others: _Family, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _alike(s: np.ndarray, bits: np.ndarray, others: _Unit, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of `some` of the others are as similar to set s as THRESHOLD asks, and how similar."""
     n, sizes = len(s), others.sizes[some]
     some = some[(sizes >= THRESHOLD * n - 1e-9) & (n >= THRESHOLD * sizes - 1e-9)]
@@ -287,58 +310,120 @@ def _alike(s: np.ndarray, bits: np.ndarray, others: _Family, some: np.ndarray) -
     return some[j >= THRESHOLD], j[j >= THRESHOLD]
 
 
-def _links(families: dict[int, _Family], pairs: list, cross: bool):
-    """(set, set, similarity) arrays of the linked pairs of a tile; across its two slots only where cross."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams sets x and y have in common, at [x, y], x < y; other places don't count."""
+    n = len(sets)
+    out, flat, cols, part = np.zeros((n, n), np.int32), np.zeros(0, np.int64), np.zeros((n, COLUMNS), np.float32), -(-sum(map(len, sets)) // SORT)
+    cuts = [np.searchsorted(s, np.array([(k << 47) // part for k in range(part + 1)], U)) for s in sets]
+    for k in range(part):
+        gram = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)])
+        own = np.repeat(np.arange(n), [c[k + 1] - c[k] for c in cuts])
+        order = np.argsort(gram, kind="stable")
+        gram, own = gram[order], own[order]
+        heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))[: len(gram)]
+        held = np.diff(np.append(heads, len(gram)))
+        dense = held * 9 > n + 72
+        of, wide = np.repeat(np.cumsum(dense) - 1, held), np.repeat(dense, held)
+        of, at = of[wide], own[wide]
+        for lo in range(0, int(dense.sum()), COLUMNS):
+            x, y = np.searchsorted(of, (lo, lo + COLUMNS))
+            cols[:] = 0
+            cols[at[x:y], of[x:y] - lo] = 1
+            out += (cols @ cols.T).astype(np.int32)
+        few = np.repeat(~dense & (held > 1), held)
+        own, size = own[few], held[~dense & (held > 1)]
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(own)) - 1
+        total, lo = np.cumsum(left), 0
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SORT, "right")))
+            m = left[lo:hi]
+            x = np.repeat(np.arange(lo, hi), m)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+            flat = own[x] * n + own[y]
+            if len(flat) * 4 > n * n:
+                out += np.bincount(flat, minlength=n * n).reshape(n, n).astype(np.int32)
+            else:
+                cell, count = np.unique(flat, return_counts=True)
+                out.reshape(-1)[cell] += count.astype(np.int32)
+            lo = hi
+    return out
+
+
+def _all_links(units: dict[int, _Unit], pairs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets (by place in the tile), sets and similarities of the linked pairs of a tile, from the overlaps of all its sets."""
+    at = {u: k for k, u in enumerate(units)}
+    listed = np.zeros((len(at), len(at)), bool)
     for a, b in pairs:
-        one, two = families.get(a), families.get(b)
-        if one is None or two is None:
-            continue
+        a, b = sorted((at[a], at[b]))
+        listed[a, b] = True
+    unit = np.repeat(np.arange(len(at)), [len(x.rep) for x in units.values()])
+    sizes = np.concatenate([x.sizes for x in units.values()])
+    both = _overlaps([s for x in units.values() for s in x.sets])
+    x, y = np.nonzero(np.triu(both, 1))
+    ok = listed[unit[x], unit[y]]
+    x, y = x[ok], y[ok]
+    both = both[x, y].astype(np.int64)
+    j = both / (sizes[x] + sizes[y] - both)
+    return x[j >= THRESHOLD], y[j >= THRESHOLD], j[j >= THRESHOLD]
+
+
+def _links(units: dict[int, _Unit], pairs: list):
+    """(sets, sets, similarities) arrays of the linked pairs of a tile, sets by their place in it."""
+    pairs = [(a, b) for a, b in pairs if a in units and b in units]
+    n = sum(len(x.rep) for x in units.values())
+    if n <= WIDEST and sum(len(units[a].rep) * len(units[b].rep) for a, b in pairs) > DENSE * n:
+        yield _all_links(units, pairs)
+        return
+    start = dict(zip(units, np.cumsum([0, *(len(x.rep) for x in units.values())])[:-1].tolist(), strict=False))
+    for a, b in pairs:
+        one, two = units[a], units[b]
         for i in range(len(one.rep)):
             some = np.arange(i + 1 if a == b else 0, len(two.rep))
-            if cross:
-                some = some[two.slot[some] != one.slot[i]]
             for k in range(0, len(some), 512):
                 at, j = _alike(one.sets[i], one.bits[i], two, some[k : k + 512])
                 if len(at):
-                    yield (a, i), (b, at), j
+                    yield np.full(len(at), start[a] + i), start[b] + at, j
 
 
-def _verify(listed: bool):
-    """Rows sorted by tile: first its texts (bs null), then its family pairs. listed: give the pairs, not counts and components."""
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of the component of each of n sets that links x, y connect."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[x], top[y])
+        now = top.copy()
+        for at in (x, y, top[x], top[y]):
+            np.minimum.at(now, at, low)
+        while (now != now[now]).any():
+            now = now[now]
+        if (now == top).all():
+            return top
+        top = now
 
-    def flush(held, pairs, cross):
-        families = {f: _Family(rows) for f, rows in held.items()}
-        links = {f: np.zeros(len(x.rep), np.int64) for f, x in families.items()}
-        start = dict(zip(families, np.cumsum([0, *(len(x.rep) for x in families.values())])[:-1].tolist(), strict=True)) if families else {}
-        up = np.arange(sum(len(x.rep) for x in families.values()))
 
-        def top(k):
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for (a, i), (b, at), j in _links(families, pairs, cross):
+def _verify(listed: bool):
+    """Rows sorted by tile: first its texts (bs null), then its pairs of units. listed: give the pairs, not counts and components."""
+
+    def flush(held, pairs):
+        units = {u: _Unit(rows) for u, rows in held.items()}
+        if not units:
+            return
+        rep, weight = (np.concatenate([getattr(u, c) for u in units.values()]) for c in ("rep", "weight"))
+        links, ends = np.zeros(len(rep), np.int64), []
+        for x, y, j in _links(units, pairs):
             if listed:
-                yield pa.record_batch({"a": np.full(len(at), families[a].rep[i]), "b": families[b].rep[at], "jaccard": j})
+                yield pa.record_batch({"a": rep[x], "b": rep[y], "jaccard": j})
                 continue
-            links[a][i] += families[b].weight[at].sum()
-            links[b][at] += families[a].weight[i]
-            root = top(start[a] + i)
-            for k in np.unique(up[start[b] + at]).tolist():
-                other = top(k)
-                root, other = min(root, other), max(root, other)
-                up[other] = root
-        if not listed and len(up):
-            rep, n = np.concatenate([x.rep for x in families.values()]), np.concatenate(list(links.values()))
-            some = np.flatnonzero(n)
-            yield pa.record_batch({"rep": rep[some], "links": n[some], "root": rep[[top(k) for k in some.tolist()]] if len(some) else rep[:0]})
+            np.add.at(links, x, weight[y])
+            np.add.at(links, y, weight[x])
+            ends.append((x, y))
+        if ends:
+            some, root = np.flatnonzero(links), _least(len(rep), *(np.concatenate(e) for e in zip(*ends, strict=True)))
+            yield pa.record_batch({"rep": rep[some], "links": links[some], "root": rep[root[some]]})
 
     def run(batches):
-        tile, held, pairs, cross = None, {}, [], False
+        tile, held, pairs = None, {}, []
         for batch in batches:
-            col = {c: np.asarray(batch.column(c).fill_null(0)) for c in ("tile", "rep", "family", "weight", "slot")}
-            cross_ = batch.column("cross")
+            col = {c: np.asarray(batch.column(c).fill_null(0)) for c in ("tile", "rep", "unit", "weight")}
             bs = batch.column("bs")
             is_text = np.asarray(bs.is_null())
             got = {}
@@ -351,18 +436,17 @@ def _verify(listed: bool):
             for i in range(len(is_text)):
                 if col["tile"][i] != tile:
                     if pairs:
-                        yield from flush(held, pairs, cross)
+                        yield from flush(held, pairs)
                     tile, held, pairs = col["tile"][i], {}, []
                 if not is_text[i]:
-                    a = int(col["family"][i])
+                    a = int(col["unit"][i])
                     pairs += [(a, b) for b in bs[i].as_py()]
-                    cross = cross_[i].as_py()
                 elif i in got and got[i][0] == col["rep"][i]:  # a doc_id may have other texts, too
-                    rows_ = held.setdefault(int(col["family"][i]), [])
+                    rows_ = held.setdefault(int(col["unit"][i]), [])
                     if not any(r[0] == col["rep"][i] for r in rows_[-1:]):
-                        rows_.append((col["rep"][i], col["weight"][i], col["slot"][i], got[i][1]))
+                        rows_.append((col["rep"][i], col["weight"][i], got[i][1]))
         if pairs:
-            yield from flush(held, pairs, cross)
+            yield from flush(held, pairs)
 
     return run
 
@@ -408,19 +492,24 @@ def _tiles(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     # a group is named by the least family that its members are paired with
     root = pairs.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("a"), "root")
     rooted = cut(pairs.join(root, "a", "left").select(F.coalesce("root", "a").alias("root"), "a", "b"))
-    member = rooted.select("root", F.explode(F.array("a", "b")).alias("family")).distinct()
-    held = cut(member.join(reps.select("family", "rep", "doc", "weight"), "family"))
-    wide = cut(held.groupBy("root").count().filter(F.col("count") > TILE).select("root", F.ceil(F.col("count") / TILE).cast("int").alias("wide")))
-    slots = lambda df: join_small(df, wide, "root", "left", 16).withColumn("wide", F.coalesce("wide", F.lit(1)))
-    tile = lambda i, j: F.xxhash64("root", F.least(i, j), F.greatest(i, j))
-    each = F.sequence(F.lit(0), F.col("wide") - 1)
-    lists = slots(rooted.groupBy("root", "a").agg(F.collect_list("b").alias("bs"))).withColumn("i", F.explode(each)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("wide") - 1)))
-    lists = lists.select(tile(F.col("i"), F.col("j")).alias("tile"), F.col("a").alias("family"), (F.col("i") != F.col("j")).alias("cross"), "bs")
-    sent = slots(held).withColumn("slot", F.pmod(F.xxhash64("rep"), "wide").cast("int")).withColumn("tiles", F.transform(each, lambda j: tile(F.col("slot"), j)))
-    needs = sent.groupBy("doc").agg(F.collect_list(F.struct("rep", "family", "weight", "slot", "tiles")).alias("needs"))
+    count = cut(reps.groupBy("family").agg(F.count("*").alias("n")))
+    member = rooted.select("root", F.explode(F.array("a", "b")).alias("family")).distinct().join(count, "family")
+    wide = cut(member.groupBy("root").agg(F.ceil(F.sum("n") / TILE).alias("wide")).filter("wide > 1"))
+    cuts = cut(count.filter(F.col("n") > TILE).select("family", F.ceil(F.col("n") / TILE).alias("parts")))
+    parts = lambda df, c, k: join_small(df, cuts.select(F.col("family").alias(c), F.col("parts").alias(k)), c, "left", 16).withColumn(k, F.coalesce(k, F.lit(1)))
+    units = lambda c, k: F.explode(F.transform(F.sequence(F.lit(0), F.col(k) - 1), lambda i: F.xxhash64(c, i)))
+    met = join_small(parts(parts(rooted, "a", "i"), "b", "j"), wide, "root", "left", 16)
+    met = met.withColumn("ua", units("a", "i")).withColumn("ub", units("b", "j")).filter("a <> b or ua <= ub")
+    slot = lambda u: F.pmod(u, F.coalesce("wide", F.lit(1)))
+    tile = F.xxhash64("root", F.least(slot("ua"), slot("ub")), F.greatest(slot("ua"), slot("ub")))
+    met = cut(met.select(tile.alias("tile"), "ua", "ub"))
+    lists = met.groupBy("tile", "ua").agg(F.collect_list("ub").alias("bs")).withColumnRenamed("ua", "unit")
+    to = met.select("tile", F.explode(F.array("ua", "ub")).alias("unit")).distinct().groupBy("unit").agg(F.collect_list("tile").alias("tiles"))
+    sent = parts(reps, "family", "k").withColumn("unit", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "k"))).join(to, "unit")
+    needs = sent.groupBy("doc").agg(F.collect_list(F.struct("rep", "unit", "weight", "tiles")).alias("needs"))
     rows = join_small(texts, cut(needs.withColumnRenamed("doc", "doc_id")), "doc_id", "inner", 200).select(F.explode("needs").alias("x"), "text")
-    rows = rows.select(F.explode("x.tiles").alias("tile"), "x.rep", "x.family", "x.weight", "x.slot", F.lit(False).alias("cross"), F.lit(None).cast("array<long>").alias("bs"), "text")
-    return rows.unionByName(lists, allowMissingColumns=True).repartition("tile").sortWithinPartitions("tile", F.col("bs").isNotNull(), "family", "rep")
+    rows = rows.select(F.explode("x.tiles").alias("tile"), "x.rep", "x.unit", "x.weight", F.lit(None).cast("array<long>").alias("bs"), "text")
+    return rows.unionByName(lists, allowMissingColumns=True).repartition("tile").sortWithinPartitions("tile", F.col("bs").isNotNull(), "unit", "rep")
 
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

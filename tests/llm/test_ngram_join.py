@@ -137,3 +137,65 @@ def test_empty(docs):
     assert J.classes(docs([])).collect() == [] and J.join(docs([])).collect() == [] and J.group(docs([])).collect() == []
     assert J.join(docs([(1, None), (2, "")])).collect() == []
     assert classes(J.classes(docs([(1, None), (2, "")]))) == {1: (1, 0), 2: (2, 0)}
+
+
+def linked_group(n, seed=2):
+    """Different texts that each share a third of their words with every other: one group of n families, few of them similar."""
+    rng = random.Random(seed)
+    core = [f"c{k}" for k in range(60)]
+    return [(i, " ".join(core + [f"u{rng.randrange(10**9)}" for _ in range(rng.choice((20, 30, 90)))])) for i in range(n)]
+
+
+def test_a_pair_of_families_is_listed_in_one_tile(docs, monkeypatch):
+    """However many slots their group has, or the lists would grow with the square of the slots."""
+    monkeypatch.setattr(J, "TILE", 8)
+    rows = linked_group(48)
+    texts, _, reps = J._representatives(docs(rows))
+    pairs = J._candidates(texts, reps)
+    tiles = [r for r in J._tiles(texts, reps, pairs).collect() if r["bs"] is not None]
+    units = {r["family"]: -(-r["count"] // 8) for r in reps.groupBy("family").count().collect()}
+    met = [(r["a"], r["b"]) for r in pairs.collect()]
+    want = sum(units[a] * units[b] if a != b else units[a] * (units[a] + 1) // 2 for a, b in met)
+    assert sum(len(r["bs"]) for r in tiles) == want > 100 and len({r["tile"] for r in tiles}) > 8
+    assert classes(J.classes(docs(rows))) == brute_classes(rows)
+
+
+def test_overlaps_of_a_tile_at_once(monkeypatch):
+    """The product of columns, the listed pairs of rarer n-grams, and the direct way agree with sets, over many parts and slices."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 47, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(1, 280), False), rng.integers(0, 1 << 47, rng.integers(0, 60), dtype=np.uint64)))) for _ in range(90)]
+    sets += [np.unique(np.concatenate((s, rng.integers(0, 1 << 47, 9, dtype=np.uint64)))) for s in sets[:40]]
+    units = {u: J._Unit([(k, 1, sets[k]) for k in range(u, len(sets), 7)]) for u in range(7)}
+    pairs = [(a, b) for a in range(7) for b in range(a, 7) if (a + b) % 3]
+    flat = [k for u in range(7) for k in range(u, len(sets), 7)]
+    want = {}
+    for x, y in itertools.combinations(range(len(flat)), 2):
+        a, b = set(sets[flat[x]].tolist()), set(sets[flat[y]].tolist())
+        if (flat[x] % 7, flat[y] % 7) in pairs and len(a & b) >= J.THRESHOLD * len(a | b):
+            want[x, y] = len(a & b) / len(a | b)
+    for dense, sort, columns in ((0, 1 << 20, 1024), (0, 1000, 16), (10**9, 1 << 20, 1024)):
+        for name, value in (("DENSE", dense), ("SORT", sort), ("COLUMNS", columns)):
+            monkeypatch.setattr(J, name, value)
+        got = {(int(x), int(y)): float(j) for xs, ys, js in J._links(units, pairs) for x, y, j in zip(xs, ys, js, strict=True)}
+        assert got == want and len(want) > 100
+
+
+def test_memory_of_a_bucket():
+    """A bucket of about CELLS cells takes a worker some tens of bytes a cell at most."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng, n, each = np.random.default_rng(8), 10_000, 400
+    reps, grams = np.arange(n, dtype=np.uint64) << np.uint64(40), rng.integers(0, 1 << 22, n * each, dtype=np.uint32) * np.uint32(977)
+    batch = next(iter(J._blobs(np.zeros(n * each, np.int64), np.repeat(np.arange(n), each), reps, grams, None)))
+    tracemalloc.start()
+    cells = sum(len(b.column("grams")[k].as_py()) // 4 for b in J._shared(20)([batch]) for k in range(len(b)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cell = np.unique(grams.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(n), each).astype(np.uint64)) >> np.uint64(32)
+    assert cells == sum(c for c in np.unique(cell, return_counts=True)[1].tolist() if c > 1)
+    assert peak < 45 * n * each, peak
