@@ -42,6 +42,8 @@ VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.6
 BLOCK_ITEMS = 4000
 #: Of a passage's rarest words, so many must lie around a window; passages whose postings are read at a time.
 HITS, SLICE = 4, 2000
+#: Passages whose words' bits form a table, such tables that a worker keeps, and candidates that are compared at a time.
+GROUP, TABLES, BATCH = 64, 8, 1 << 15
 _PASS = "item long, text string, answer string"
 
 
@@ -170,7 +172,7 @@ class _Probe:
         self.latent = np.zeros((len(self.words), self.space.shape[1]), np.float32)
         np.add.at(self.latent, row, value[:, None].astype(np.float32) * self.space[at])
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-12)
-        self.masks = [None] * len(self.words)
+        self.masks: dict[int, tuple] = {}
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         need = np.ceil(PARAPHRASE * self.sizes - 1e-9).astype(np.int64)
         self.hits = np.minimum(HITS, need)
@@ -208,20 +210,52 @@ class _Probe:
             out.append(np.unique(_ranges(first[text] + lo, n) << 32 | np.repeat(k, n)))
         return np.concatenate(out)
 
-    def lcs(self, k: int, span: np.ndarray) -> int:
-        """Length of the longest common subsequence of item k and a span, bit-parallel over the item."""
-        if self.masks[k] is None:
-            masks: dict[int, int] = {}
-            for i, w in enumerate(self.words[k].tolist()):
-                masks[w] = masks.get(w, 0) | 1 << i
-            self.masks[k] = masks
-        masks, full = self.masks[k], (1 << len(self.words[k])) - 1
-        v = full
-        for w in span.tolist():
-            if m := masks.get(w, 0):
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        return len(self.words[k]) - v.bit_count()
+    def _bits(self, g: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Column of each term, bits of the places of a column's term within a row's passage (64 places a limb), and columns, of a group."""
+        if g not in self.masks:
+            if len(self.masks) >= TABLES:
+                self.masks.clear()
+            words = self.words[g * GROUP : (g + 1) * GROUP]
+            size = self.sizes[g * GROUP : (g + 1) * GROUP]
+            row, place = np.repeat(np.arange(len(words)), size), _ranges(np.zeros_like(size), size)
+            terms, col = np.unique(self.terms.find(np.concatenate(words)), return_inverse=True)
+            column = np.zeros(len(self.idf), np.int64)
+            column[terms] = np.arange(1, len(terms) + 1)
+            bits = np.zeros((-(-int(size.max()) // 64), len(words), len(terms) + 1), U)
+            np.bitwise_or.at(bits, (place >> 6, row, col + 1), U(1) << (place & 63).astype(U))
+            self.masks[g] = column, bits.reshape(len(bits), -1), len(terms) + 1
+        return self.masks[g]
+
+    def lcs(self, k: np.ndarray, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each passage k and terms[lo:hi], bit-parallel over the passage, many at a time."""
+        out = np.zeros(len(k), np.int64)
+        if not len(k):
+            return out
+        order = np.lexsort((lo - hi, k // GROUP))
+        heads = np.flatnonzero(np.diff(k[order] // GROUP, prepend=-1))
+        for x, y in zip(heads, np.append(heads[1:], len(k)), strict=True):
+            column, bits, width = self._bits(int(k[order[x]]) // GROUP)
+            for z in range(x, y, BATCH):
+                some = order[z : min(z + BATCH, y)]  # the longest span first
+                at, n, base = lo[some], (hi - lo)[some], k[some] % GROUP * width
+                left = [np.full(len(some), ~U(0)) for _ in bits]
+                live = np.searchsorted(-n, -np.arange(n[0]), "left")
+                for t, m in enumerate(live.tolist()):
+                    cell, carry = base[:m] + column[terms[at[:m] + t]], None
+                    for v, mask in zip(left, bits, strict=True):
+                        v = v[:m]
+                        u = v & mask[cell]
+                        total = v + u
+                        if len(bits) > 1:
+                            over = total < v
+                            if carry is not None:
+                                total += carry
+                                over |= total < carry
+                            carry = over.astype(U)
+                        v ^= u
+                        v |= total
+                out[some] = sum(np.bitwise_count(~v).astype(np.int64) for v in left)
+        return out
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -259,14 +293,16 @@ def _matches(p: _Probe, c) -> dict[tuple[int, int], tuple[float, float]]:
     of, start = _windows(np.diff(bounds))
     lo = bounds[of] + start
     hi = np.minimum(lo + WINDOW, bounds[of + 1])
+    near = p.near(at, bounds)
+    window, k = near >> 32, near & 0xFFFFFFFF
+    text, size = of[window], p.sizes[k]
+    begin, end = np.maximum(bounds[text], lo[window] - size), np.minimum(bounds[text + 1], hi[window] + size)
+    known = np.concatenate(([0], np.cumsum(at >= 0)))  # other words are in no passage
+    share = p.lcs(k, at[at >= 0], known[begin], known[end]) / size
     hits = []
-    for pair in p.near(at, bounds).tolist():
-        window, k = pair >> 32, pair & 0xFFFFFFFF
-        text, size = int(of[window]), len(p.words[k])
-        span = h[max(bounds[text], lo[window] - size) : min(bounds[text + 1], hi[window] + size)]
-        share_ = p.lcs(k, span) / size
-        if share_ >= VERBATIM or share_ >= PARAPHRASE and np.isin(p.answer[k], span).mean() >= ANSWER:
-            hits.append((text, window, k, share_))
+    for i in np.flatnonzero(share >= min(VERBATIM, PARAPHRASE)).tolist():
+        if share[i] >= VERBATIM or share[i] >= PARAPHRASE and np.isin(p.answer[k[i]], h[begin[i] : end[i]]).mean() >= ANSWER:
+            hits.append((int(text[i]), int(window[i]), int(k[i]), float(share[i])))
     if hits:
         windows, row = np.unique([w for _, w, _, _ in hits], return_inverse=True)
         latent = _latent(p, at, lo[windows], hi[windows])

@@ -143,3 +143,26 @@ def test_copies_are_found_at_every_size():
     texts = [f"{filler()} {i} {filler()}" for _, i in items]
     one, many = (found(probe(items, 1500 * scale, 10_000 * scale), texts) for scale in (1, 2000))
     assert {(k, k) for k in range(100)} <= set(one) == set(many) and all(abs(one[p] - many[p]) < 0.01 for p in one)
+
+
+def test_subsequences_of_many_candidates_at_once(monkeypatch):
+    """Passages of 1 to 128 words (1 or 2 limbs), few different words so that carries run far, several groups and batches."""
+    import numpy as np
+
+    rng = random.Random(11)
+    sizes = [1, 2, 63, 64, 65, 127, 128, *(rng.randint(1, 128) for _ in range(20))]
+    items = [(i, " ".join(f"v{rng.randrange(1 + i % 7 * 4)}" for _ in range(n))) for i, n in enumerate(sizes)]
+    stream = [f"v{rng.randrange(26)}" if rng.random() < 0.5 else "v0" for _ in range(600)]
+    p = probe(items, 10, 1000)
+    code = {w: int(p.terms.find(C._words(w))[0]) for w in set(stream)}
+    stream = [w for w in stream if code[w] >= 0]
+    k = np.array([rng.randrange(len(items)) for _ in range(400)])
+    lo = np.array([rng.randrange(len(stream)) for _ in k])
+    hi = np.minimum(len(stream), lo + np.array([rng.choice((0, 1, 40, 64, 150)) for _ in k]))
+    want = [lcs(items[i][1].split(), stream[a:b]) for i, a, b in zip(k, lo, hi, strict=True)]
+    assert p.lcs(k[:0], np.zeros(0, np.int64), lo[:0], hi[:0]).tolist() == [] and found(p, ["no known word", ""]) == {}
+    for group, tables, batch in ((64, 8, 1 << 15), (5, 2, 16)):
+        for name, value in (("GROUP", group), ("TABLES", tables), ("BATCH", batch)):
+            monkeypatch.setattr(C, name, value)
+        p.masks.clear()
+        assert p.lcs(k, np.array([code[w] for w in stream]), lo, hi).tolist() == want and max(want) > 64
