@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,17 @@ def test_table_parsers():
     assert [t[0] for t in nested] == ["pipe", "grid"]
 
 
+def test_markdown_table_is_linear(spark):
+    n = 24_000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.array(F.concat(F.lit("a|"), k), k.cast("string"), F.lit(None))).alias("r"))
+    began = time.monotonic()
+    got = rows.select(T.markdown_table(F.concat(F.array(F.array(F.lit("h"))), F.col("r"))).alias("t")).first()["t"]
+    assert time.monotonic() - began < 40
+    assert got[:3] == ["| h |  |  |", "| --- | --- | --- |", "| a\\|1 | 1 |  |"] and len(got) == n + 2
+    one = spark.createDataFrame([([],), (None,), ([["x"]],)], "r array<array<string>>").select(T.markdown_table(F.col("r")).alias("t")).collect()
+    assert [x["t"] for x in one] == [[], [], ["| x |", "| --- |"]]
+
+
 def test_normal_forms():
     assert T.semantic("CO<sub>2</sub> &gt; x² and S_{\\mathbf{down}} group \\_ loss") == "co2 > x2 and s_{down}} group_loss"
     assert T.loose("## **1.1 Education**") == "## 1.1 education"
