@@ -250,7 +250,7 @@ def whitespace_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS digest FROM pages")
 def html_strip_unescape(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(T.plain_html_col("html").cast("binary")).alias("digest"))
+    return table(spark, d, "pages").select("page_id", F.md5(T.plain_html_col(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '^\\s+|\\s+$', '', 'g') AS title FROM pages WHERE regexp_matches(html, '<h1[^>]*>[^<]*\\S[^<]*</h1>')")

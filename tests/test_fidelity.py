@@ -45,6 +45,13 @@ def test_markdown_table_is_linear(spark):
     assert [x["t"] for x in one] == [[], [], ["| x |", "| --- |"]]
 
 
+def test_plain_html_as_in_sql(spark):
+    pages = ["<p>a &amp b &copy</p>", "&amp;quot; &lt; &quot;x&quot;", "\u00a0 \x0bx\x0b\u2003\n", None, "<b\n>y</b>&middot;&copy;<"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = [r["t"] for r in df.orderBy("i").select(T.plain_html_col(F.col("html")).alias("t")).collect()]
+    assert got == ["a &amp b &copy", '&quot; &lt; "x"', "\x0bx\x0b", None, "y·©<"]
+
+
 def test_normal_forms():
     assert T.semantic("CO<sub>2</sub> &gt; x² and S_{\\mathbf{down}} group \\_ loss") == "co2 > x2 and s_{down}} group_loss"
     assert T.loose("## **1.1 Education**") == "## 1.1 education"
