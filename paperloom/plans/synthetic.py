@@ -5,7 +5,11 @@ from __future__ import annotations
 import json
 
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +32,69 @@ def line(*cols: Column) -> Column:
     return F.array(*(c.cast("string") for c in cols))
 
 
-def workbooks(rows: DataFrame, kinds: str, sheet: Callable[[dict], dict] | None = None) -> DataFrame:
-    """(workbook, row, values) -> (workbook, content): one sheet each. kinds has a letter a column: s, i or d; x=formula after it."""
-    books = rows.groupBy("workbook").agg(F.sort_array(F.collect_list(F.struct("row", "values"))).alias("cells"))
-
-    def decode(x: dict):
-        one = {"name": "Data", "rows": {c["row"]: [_typed(k, v) for k, v in zip(kinds, c["values"], strict=True)] for c in x["cells"]}}
-        yield {"workbook": x["workbook"], "content": W.xlsx([one | (sheet(one) if sheet else {})])}
-
-    return flat_map(books, decode, "workbook string, content binary", flush=16)
-
-
-def with_formula(n: int, formula: str):
-    """Makes column n a formula, {r} being its row, with the value that it has as its cached one."""
-
-    def sheet(one: dict) -> dict:
-        return {"rows": {r: [(v, formula.format(r=r)) if k == n else v for k, v in enumerate(vs)] for r, vs in one["rows"].items()}}
-
-    return sheet
+#: Texts that Python's int() or float() reads as a number of their kind: they are written as they are.
+_PLAIN = {"i": r"^-?[0-9]+$", "d": r"^-?[0-9]+\.[0-9]+(E-?[0-9]+)?$"}
+
+
+def _cells(rows: pa.Array, values: pa.Array, col: int, kind: str, formula: str | None) -> pa.Array:
+    """The XML of a column's cells; '' where there is none."""
+    at, join = W.letters(col), lambda *parts: pc.binary_join_element_wise(*parts, "", null_handling="emit_null")
+    ref = pc.cast(rows, pa.string())
+    if kind in _PLAIN and pc.all(pc.match_substring_regex(values, _PLAIN[kind]), min_count=0).as_py() and not (formula and values.null_count):
+        f = [] if formula is None else ["<f>", *[x for k, part in enumerate(escape(formula).split("{r}")) for x in ([ref] if k else []) + [part]], "</f>"]
+        xml = join(f'<c r="{at}', ref, '">', *f, "<v>", values, "</v></c>")
+    elif kind == "s" and formula is None:
+        for char, name in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+            values = pc.replace_substring(values, char, name)
+        xml = join(f'<c r="{at}', ref, '" t="inlineStr"><is><t xml:space="preserve">', values, "</t></is></c>")
+    else:
+        xml = pa.array([W.cell_xml(r, col, _typed(kind, v), formula and formula.format(r=r)) for r, v in zip(rows.to_pylist(), values.to_pylist(), strict=True)], pa.string())
+    return pc.fill_null(xml, "")
+
+
+def workbooks(rows: DataFrame, kinds: str, formula: tuple[int, str] | None = None, merges: Callable[[list[int]], list[str]] | None = None) -> DataFrame:
+    """(workbook, row, values) -> (workbook, content): one sheet each. kinds has a letter a column: s, i or d.
+
+    formula (n, text) makes column n (from 0) a formula, {r} being its row, with the value that it has as its cached one; merges gives the
+    merged ranges of a sheet's rows. Rows go to Python in order and into the sheet by the batch, so no workbook is ever whole as objects.
+    """
+    schema = pa.schema([("workbook", pa.string()), ("content", pa.binary())])
+
+    def run(batches):
+        name, book, seen = None, None, []
+        done = lambda: pa.RecordBatch.from_pylist([{"workbook": name, "content": book.close(merges(seen) if merges else [])}], schema)
+        for batch in batches:
+            at, values = batch.column("row"), batch.column("values")
+            flat, n = values.flatten(), len(kinds)
+            if len(flat) != n * len(at):
+                raise ValueError(f"rows must have {n} values")
+            column = lambda k: flat.take(pa.array(np.arange(k, len(flat), n)))  # noqa: E731, B023
+            cells = [_cells(at, column(k), k + 1, kind, formula[1] if formula and formula[0] == k else None) for k, kind in enumerate(kinds)]
+            xml = pc.cast(pc.binary_join_element_wise('<row r="', pc.cast(at, pa.string()), '">', *cells, "</row>", ""), pa.large_string())
+            ends = np.frombuffer(xml.buffers()[1], np.int64)
+            for first, last, key in _runs(batch.column("workbook")):
+                if book is None or key != name:
+                    if book:
+                        yield done()
+                    name, book, seen = key, W.Growing("Data"), []
+                book.add(memoryview(xml.buffers()[2])[ends[first] : ends[last]])
+                if merges:
+                    seen += at.slice(first, last - first).to_pylist()
+        if book:
+            yield done()
+
+    # the number of rows of a workbook isn't known before: a partition has whole workbooks, one after the other
+    ordered = rows.select("workbook", "row", "values").repartition("workbook").sortWithinPartitions("workbook", "row")
+    return ordered.mapInArrow(run, "workbook string, content binary")
+
+
+def _runs(keys: pa.Array):
+    """(first, last, key) of each run of equal keys."""
+    runs = pc.run_end_encode(keys)
+    first = 0
+    for last, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+        yield first, last, key
+        first = last
 
 
 def numbered(df: DataFrame, group: str, *order: Column | str, name: str = "k") -> DataFrame:

@@ -93,14 +93,12 @@ def xlsx_blank_gap_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_GAPS}, m AS (SELECT workbook, start_row AS m0, end_row + 3 AS m1 FROM b) SELECT workbook, table_no, count(*) AS n_merges FROM b JOIN m USING (workbook) WHERE m0 <= end_row AND m1 >= start_row GROUP BY workbook, table_no")
 def xlsx_merged_overlap(spark: SparkSession, d: str) -> DataFrame:
-    def merges(one: dict) -> dict:
-        at, out = sorted(one["rows"]), []
+    def merges(at: list[int]) -> list[str]:
         starts = [r for k, r in enumerate(at) if not k or r - at[k - 1] >= 3]
-        for a, b in zip(starts, [*starts[1:], at[-1] + 3], strict=True):
-            out.append(f"A{a}:B{max(r for r in at if r < b) + 3}")
-        return {"merges": out}
+        last = [at[k - 1] for k, r in enumerate(at) if k and r - at[k - 1] >= 3] + at[-1:]
+        return [f"A{a}:B{b + 3}" for a, b in zip(starts, last, strict=True)]
 
-    facts = B.facts(S.workbooks(_gapped(spark, d).drop("s_nationkey"), "is", merges))
+    facts = B.facts(S.workbooks(_gapped(spark, d).drop("s_nationkey"), "is", merges=merges))
     return X.in_tables(X.tables(facts), X.merged(facts), "first_row", "last_row").groupBy("workbook", "table_no").agg(F.count("*").alias("n_merges"))
 
 
@@ -116,7 +114,7 @@ def xlsx_prune(spark: SparkSession, d: str) -> DataFrame:
 def xlsx_cell_metadata(spark: SparkSession, d: str) -> DataFrame:
     li = S.numbered(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount")
     values = S.line(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    books = S.workbooks(li.select(F.col("l_suppkey").cast("string").alias("workbook"), F.col("k").alias("row"), values.alias("values")), "iiddd", S.with_formula(4, "C{r}*(1-D{r})"))
+    books = S.workbooks(li.select(F.col("l_suppkey").cast("string").alias("workbook"), F.col("k").alias("row"), values.alias("values")), "iiddd", formula=(4, "C{r}*(1-D{r})"))
     return X.cell_metadata(B.facts(books, assets=False)).filter("formula is not null").select("workbook", F.col("row").alias("row_no"), "formula", F.col("value_num").alias("cached"))
 
 

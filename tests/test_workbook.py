@@ -1,8 +1,10 @@
 import json
+import tracemalloc
 
 import pytest
 
 from paperloom.operators import workbook as X
+from paperloom.plans import synthetic as S
 from paperloom.sources import workbook as B
 from paperloom.sources import writers as W
 
@@ -76,3 +78,37 @@ def test_formulas_and_dates():
     assert B.shifted("A1+$B$2*SUM(C3:D$4)&\"A1\"", 2, 1) == "B3+$B$2*SUM(D5:E$4)&\"A1\""
     assert str(B.serial(45000.5, "yyyy-mm-dd hh:mm", False)) == "2023-03-15 12:00:00" and str(B.serial(0.25, "h:mm", False)) == "06:00:00"
     assert B.split_ref("$AB$12") == (12, 28) and W.letters(28) == "AB"
+
+
+def test_large_sheets_are_streamed():
+    n = 40_000
+    tail = '<hyperlinks><hyperlink ref="A3" location="here"/><hyperlink ref="Z9" location="there"/></hyperlinks>'
+    data = W.xlsx([{"name": "S", "rows": {r: [r, r + 0.5, "t<", (r * 2, f"A{r}*2")] for r in range(1, n + 1)}, "merges": ["A1:B2"], "hidden_cols": [2], "hidden_rows": [7], "tail": tail}])
+    tracemalloc.start()
+    seen = {"cell": 0}
+    for f in B.facts_of(data):
+        seen[f["fact"]] = seen.get(f["fact"], 0) + 1
+        if f["fact"] == "cell":
+            assert f["ref"] == "Z9" or f["value"] == (str(f["row"]), f"{f['row'] + 0.5}", "t<", str(f["row"] * 2))[f["col"] - 1]
+            assert f["hyperlink"] == {"A3": "here", "Z9": "there"}.get(f["ref"])
+            assert f["formula"] == (f"=A{f['row']}*2" if f["col"] == 4 else None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == {"sheet": 1, "hidden_col": 1, "hidden_row": 1, "merge": 1, "cell": 4 * n + 1} and peak < 12 << 20
+
+
+@pytest.mark.parametrize("n", [3, 20_000])
+def test_broken_sheets_give_no_cells(n):
+    sheet = "".join(f'<row r="{r}"><c r="A{r}"><v>1</v></c></row>' for r in range(1, n))
+    parts = {"xl/workbook.xml": W._frame([{"name": "S"}])["xl/workbook.xml"], "xl/_rels/workbook.xml.rels": W.rels([("rId1", "worksheet", "worksheets/sheet1.xml")]), "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{sheet}</sheetData>"}
+    assert [(f["fact"], bool(f["warning"])) for f in B.facts_of(W.zipped(parts))] == [("sheet", True)]
+
+
+def test_synthetic_workbooks_by_the_batch(spark):
+    values = [["1", "2.5", "a<b&", "1"], ["x", "NaN", "", None], [None, "7", None, "-3"], ["-4", "1.0E10", "é", "5"]]
+    df = spark.createDataFrame([(w, r, v) for w in ("b", "a", None) for r, v in zip((9, 1, 4, 30), values, strict=True)], "workbook string, row int, values array<string>")
+    books = S.workbooks(df, "idsi", formula=(3, "A{r}<B{r}"), merges=lambda at: [f"A{at[0]}:B{at[-1]}"])
+    got = sorted(((r["workbook"] or "", r["row"], r["col"], r["value"], r["formula"]) for r in X.cells(B.facts(books)).collect()))
+    rows = [(1, 1, "x", None), (1, 2, "nan", None), (1, 3, "", None), (1, 4, None, "=A1<B1"), (4, 2, "7.0", None), (4, 4, "-3", "=A4<B4"), (9, 1, "1", None), (9, 2, "2.5", None), (9, 3, "a<b&", None), (9, 4, "1", "=A9<B9"), (30, 1, "-4", None), (30, 2, "10000000000.0", None), (30, 3, "é", None), (30, 4, "5", "=A30<B30")]
+    assert got == [(w, *r) for w in ("", "a", "b") for r in rows]
+    assert {r["merge_ref"] for r in X.merged(B.facts(books)).collect()} == {"A1:B30"}
