@@ -45,7 +45,12 @@ def packages(spark: SparkSession, folder: str) -> DataFrame:
 def results(scores: DataFrame, doc_scores: DataFrame) -> DataFrame:
     """A row a package: every dimension and the doc_score, as texts of four decimals, a dash where one doesn't apply."""
     wide = scores.groupBy("doc_id", "method").pivot("dimension", list(E.DIMENSIONS)).agg(F.first("score"))
-    return doc_scores.join(wide, ["doc_id", "method"], "left").select("doc_id", "method", *(E.formatted(F.col(c)).alias(c) for c in (*E.DIMENSIONS, "doc_score")))
+    return wide_results(doc_scores.join(wide, ["doc_id", "method"], "left"))
+
+
+def wide_results(wide: DataFrame) -> DataFrame:
+    """results() of fidelity.doc_scores() with all dimensions."""
+    return wide.select("doc_id", "method", *(E.formatted(F.col(c)).alias(c) for c in (*E.DIMENSIONS, "doc_score")))
 
 
 def evaluate(spark: SparkSession, packages_folder: str, groundtruth_folder: str, out: str) -> int:

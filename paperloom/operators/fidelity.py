@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import text as T
-from ..functions.flat_map import flat_map
 from . import markdown as M
 
 DIMENSIONS = (
@@ -111,15 +112,14 @@ def level_offset(pairs: list[tuple[int, int]]) -> int:
     return min((d for d in n if n[d] == most), key=abs) if most > 1 else 0
 
 
-def _ordered_one(body: str, e: dict):
-    parsed = M.parse_tables(body)
+def _ordered_one(parsed: list, spans: list, e: dict):
     shapes = [(n, m) for _, n, m, _ in parsed]
     wanted = e.get("tables") or []
     places = match_tables(shapes, wanted)
     for w, k in zip(wanted, places, strict=True):
         yield "table_recall", float(k is not None), 1.0, None if k is not None else f"index={w['index']} rows={w['rows']} cols={w['cols']}"
 
-    got = [(level, T.loose(text), text) for _, _, level, text in M.heading_spans(body)]
+    got = [(level, T.loose(text), text) for _, _, level, text in spans]
     expected = [(h["level"] or 1, h["text"] or "") for h in e.get("headings") or []]
     at = 0
     for level, text in expected:
@@ -177,24 +177,26 @@ def prepared(packages: DataFrame, expected: DataFrame) -> DataFrame:
     """packages with their expectation and every normalized form that scorers use, each computed once, in one pass through Python."""
     texts = ", ".join(f"{k}: array<string>" for k in ("key", "box", "foot", "toc", "tb", "tn", "nt", "na", "chart", "art", "formula", "embedded"))
     raw = ", ".join(f"{k}: array<string>" for k in ("chart", "formula"))
-    e = expected.select("doc_id", F.from_json("expected", EXPECTED).alias("e"))
-    joined = packages.select("doc_id", "method", "body", "extra", "manifest", "files").join(e, "doc_id")
-    kind = StructType(list(joined.schema.fields))
+    # Neither side is broadcast, whatever size is guessed for the texts, and the number of partitions is a given one: few bytes make much work here.
+    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    joined = spread(packages.select("doc_id", "method", "body", "extra", "manifest", "files")).join(spread(expected.select("doc_id", "expected")).hint("merge"), "doc_id")
+    joined = joined.select(*joined.columns[:-1], F.from_json("expected", EXPECTED).alias("e"))
+    made = StructType()
     for name, ddl in (("full", "string"), ("nbody", "string"), ("nfull", "string"), ("ntoc", "string"), ("nrefs", "array<string>"), ("ls", "array<string>"), ("nlines", "array<string>"), ("shapes", "array<struct<n: int, m: int>>"), ("ordered", f"array<{CHECK}>"), ("n", f"struct<{texts}>"), ("raw", f"struct<{raw}>")):
-        kind = kind.add(name, _parse_datatype_string(ddl))
+        made = made.add(name, _parse_datatype_string(ddl))
 
-    def decode(row: dict):
+    def decode(row: dict) -> dict:
         x, body, extra = row["e"] or {}, row["body"] or "", row["extra"] or []
         items = lambda name: x.get(name) or []
         norm = lambda values: [T.semantic(v or "") for v in values]
         nested = lambda name, key: [t for i in items(name) for t in i.get(key) or []]
         chart = [t or "" for c in items("charts") for t in (c["texts"] if c["texts"] is not None else [c["title"], *(c["series"] or []), *(c["categories"] or [])])]
         full = "\n".join([body, *(y["text"] or "" for y in extra)])
-        ls = body.splitlines()
+        ls, nbody, tables, spans = body.splitlines(), T.semantic(body), M.parse_tables(body), M.heading_spans(body)
         of_ref = lambda ref: "\n".join(y["text"] or "" for y in extra if y["ref"] == ref)
-        yield row | {
-            "full": full, "nbody": T.semantic(body), "nfull": T.semantic(full), "ntoc": T.semantic(M.toc(body)), "nrefs": norm(of_ref(c["ref"]) for c in items("embedded_content")), "ls": ls, "nlines": norm(ls),
-            "shapes": [{"n": n, "m": m} for _, n, m, _ in M.parse_tables(body)], "ordered": [dict(zip(("dimension", "ok", "total", "miss"), c, strict=True)) for c in _ordered_one(body, x)],
+        return {
+            "full": full, "nbody": nbody, "nfull": T.semantic(full) if extra else nbody, "ntoc": T.semantic(M.toc(body, spans)), "nrefs": norm(of_ref(c["ref"]) for c in items("embedded_content")), "ls": ls, "nlines": norm(ls),
+            "shapes": [{"n": n, "m": m} for _, n, m, _ in tables], "ordered": [dict(zip(("dimension", "ok", "total", "miss"), c, strict=True)) for c in _ordered_one(tables, spans, x)],
             "n": {
                 "key": norm(items("key_texts")), **{k: norm(i[f] for i in items(name)) for k, name, f in (("box", "checkboxes", "text"), ("foot", "footnotes", "text"), ("toc", "toc", "text"), ("tb", "textboxes", "text"), ("tn", "table_numbered_items", "anchor"))},
                 **{k: norm(nested(name, f)) for k, name, f in (("nt", "nested_tables", "texts"), ("na", "nested_table_assets", "texts"), ("art", "smartarts", "texts"), ("formula", "formulas", "tokens"), ("embedded", "embedded_content", "texts"))}, "chart": norm(chart),
@@ -202,7 +204,16 @@ def prepared(packages: DataFrame, expected: DataFrame) -> DataFrame:
             "raw": {"chart": chart, "formula": nested("formulas", "tokens")},
         }
 
-    return flat_map(joined, decode, kind, flush=64)
+    kind, arrow = StructType([*joined.schema.fields, *made.fields]), to_arrow_schema(made)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                more = pa.RecordBatch.from_pylist([decode(row) for row in part.select(["body", "extra", "e"]).to_pylist()], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, *more.columns], names=kind.names)
+
+    return joined.mapInArrow(run, kind)
 
 
 def checks(packages: DataFrame, expected: DataFrame) -> DataFrame:
@@ -261,10 +272,13 @@ def scores(checks_: DataFrame) -> DataFrame:
     return checks_.groupBy("doc_id", "method", "dimension").agg((F.sum("ok") / F.sum("total")).alias("score")).filter("score is not null")
 
 
-def doc_scores(scores_: DataFrame, packages: DataFrame, expected: DataFrame) -> DataFrame:
-    """The mean of a package's applicable dimensions, 0.0 where there is none. Packages without ground truth aren't scored."""
-    mean = scores_.groupBy("doc_id", "method").agg(F.avg("score").alias("doc_score"))
-    judged = packages.select("doc_id", "method").distinct().join(expected.select("doc_id"), "doc_id", "left_semi")
+def doc_scores(scores_: DataFrame, packages: DataFrame, expected: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
+    """The mean of a package's applicable dimensions, 0.0 where there is none. Packages without ground truth aren't scored.
+
+    dimensions: their scores as columns, null where one isn't applicable, from the same pass over the scores.
+    """
+    mean = scores_.groupBy("doc_id", "method").agg(F.avg("score").alias("doc_score"), *(F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in dimensions))
+    judged = packages.select("doc_id", "method").distinct().join(expected.select("doc_id").hint("merge"), "doc_id", "left_semi")
     return judged.join(mean, ["doc_id", "method"], "left").withColumn("doc_score", F.coalesce("doc_score", F.lit(0.0)))
 
 
@@ -274,6 +288,11 @@ def summary(scores_: DataFrame, doc_scores_: DataFrame) -> DataFrame:
     return doc_scores_.groupBy("method").agg(F.count("*").alias("n_docs"), F.avg("doc_score").alias("doc_score")).join(wide, "method", "left")
 
 
+def wide_summary(wide: DataFrame) -> DataFrame:
+    """summary() of doc_scores() with all dimensions, without a second pass over the scores."""
+    return wide.groupBy("method").agg(F.count("*").alias("n_docs"), *(F.avg(c).alias(c) for c in ("doc_score", *DIMENSIONS)))
+
+
 def misses(checks_: DataFrame) -> DataFrame:
     return checks_.filter("miss is not null").select("doc_id", "method", "dimension", "seq", "miss")
 

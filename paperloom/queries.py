@@ -352,8 +352,7 @@ def doc_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_SCORES}, m AS (SELECT doc_id, method, avg(score) AS doc_score FROM s GROUP BY doc_id, method) SELECT method, count(*) AS n_docs, printf('%.4f', avg(doc_score)) AS doc_score, (SELECT printf('%.4f', avg(score)) FROM s WHERE s.method = m.method AND dimension = 'hyperlink_recall') AS hyperlink_recall, '-' AS image_recall FROM m GROUP BY method")
 def method_summary(spark: SparkSession, d: str) -> DataFrame:
     packages, expected, checks = _checks(spark, d)
-    s = E.scores(checks)
-    return E.summary(s, E.doc_scores(s, packages, expected)).select("method", "n_docs", *(E.formatted(F.col(c)).alias(c) for c in ("doc_score", "hyperlink_recall", "image_recall")))
+    return E.wide_summary(E.doc_scores(E.scores(checks), packages, expected, E.DIMENSIONS)).select("method", "n_docs", *(E.formatted(F.col(c)).alias(c) for c in ("doc_score", "hyperlink_recall", "image_recall")))
 
 
 @query(f"{_SCORES} SELECT doc_id, method, dimension, CASE dimension WHEN 'key_text_hit' THEN 'not in the text' WHEN 'checkbox_recall' THEN '□ ' || lower(method) ELSE 'url=https://x.org/none anchor=see' END AS miss FROM s WHERE score < 1")
@@ -400,5 +399,4 @@ def all_misses(spark: SparkSession, d: str) -> DataFrame:
 SELECT s_suppkey::VARCHAR AS doc_id, 'm' AS method, {", ".join(f"printf('%.4f', max(score) FILTER (WHERE dimension = '{x}')) AS {x}" for x in E.DIMENSIONS)}, printf('%.4f', avg(score)) AS doc_score FROM s GROUP BY s_suppkey""")
 def evaluation_results(spark: SparkSession, d: str) -> DataFrame:
     packages, expected = S.converted_in_full(table(spark, d, "supplier"))
-    scores = E.scores(E.checks(packages, expected))
-    return V.results(scores, E.doc_scores(scores, packages, expected))
+    return V.wide_results(E.doc_scores(E.scores(E.checks(packages, expected)), packages, expected, E.DIMENSIONS))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from paperloom import __main__ as cli
 from paperloom.functions import text as T
+from paperloom.operators import evaluation as V
 from paperloom.operators import fidelity as E
 from paperloom.operators import markdown as M
+from paperloom.plans import synthetic as S
 
 PACKAGE = "doc_id string, method string, body string, extra array<struct<ref:string,text:string>>, manifest struct<" + "embedded_objects:array<struct<ref:string,path:string,markdown_reference:string,filename:string>>,images:array<struct<ref:string,path:string,markdown_reference:string,filename:string>>>, files array<string>"
 
@@ -144,3 +146,32 @@ def test_parents(spark):
     docs = spark.createDataFrame([("d", "# A\n\ntext\n\n### B\n\nC\n---\n\n#### E\n\n# D\n\n### F\n\n## G\n\n### H")], "doc_id string, content string")
     h = M.parents(M.headings(M.lines(docs, "content", "doc_id"), "doc_id"), "doc_id")
     assert [(r["level"], r["text"], r["parents"]) for r in h.orderBy("line_no").collect()] == [(1, "A", []), (3, "B", ["A"]), (2, "C", ["A"]), (4, "E", ["A", "C"]), (1, "D", []), (3, "F", ["D"]), (2, "G", ["D"]), (3, "H", ["D", "G"])]
+
+
+def many(spark, n=40):
+    return S.converted(spark.range(n).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("c_mktsegment"), F.lit(1.5).alias("c_acctbal")).coalesce(1))
+
+
+def test_conversions_are_spread(spark):
+    at = E.checks(*many(spark)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert at == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_wide_scores_take_one_pass(spark):
+    packages, expected = many(spark)
+    scores = E.scores(E.checks(packages, expected))
+    packages = packages.unionByName(packages.limit(1).withColumn("doc_id", F.lit("no checks")))
+    expected = expected.unionByName(spark.createDataFrame([("no checks", "{}")], expected.schema))
+    wide = E.doc_scores(scores, packages, expected, E.DIMENSIONS)
+    summary, results = E.wide_summary(wide), V.wide_results(wide)
+    for df in (summary, results):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    docs = E.doc_scores(scores, packages, expected)
+    shown = lambda df, by: [[f"{x:.9g}" if isinstance(x, float) else x for x in r] for r in df.orderBy(by).collect()]
+    assert shown(summary, "method") == shown(E.summary(scores, docs).select(summary.columns), "method")
+    assert shown(results, "doc_id") == shown(V.results(scores, docs), "doc_id") and len(shown(results, "doc_id")) == 41
+
+
+def test_normal_forms_of_odd_texts():
+    assert T.semantic(" A\x1cb　 C ") == T.loose(" A\x1cb　 C ") == "a b c"
+    assert T.semantic("a -- b ― c &amp;lt; x^2 _ y <b>z</b>") == "a - b - c &lt; x2_y z"
